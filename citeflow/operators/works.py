@@ -227,7 +227,7 @@ def count_and_sum(works: DataFrame, author_col: str = "author", cites_col: str =
 
 def distinct_patents(patents: DataFrame, inventor_col: str = "inventor", patent_col: str = "patent") -> DataFrame:
     """Distinct patents per inventor; two-level aggregate, no set per group."""
-    return (patents.groupBy(inventor_col, patent_col).agg()
+    return (patents.select(inventor_col, patent_col).distinct()
             .groupBy(inventor_col).agg(F.count(patent_col).alias("patents")))
 
 
