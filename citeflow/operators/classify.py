@@ -40,7 +40,7 @@ def one_hot_stages(cols: Sequence[str]) -> list:
     for c in cols:
         stages.append(StringIndexer(inputCol=f"{c}__s", outputCol=f"{c}__i", handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__oh", dropLast=True, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__oh", dropLast=True))
     return stages
 
 

@@ -154,15 +154,32 @@ def audit_lines(lines: DataFrame, file_col: str = "file", fields_col: str = "fie
     return per.select(F.col(file_col).alias("file"), bad.alias("bad"))
 
 
+def list_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """(file, length) of every file under ``path`` whose name matches ``glob``,
+    empty ones included (file scans skip zero-length files). Metadata only,
+    through the Hadoop FileSystem API, as Spark's own file index lists."""
+    import fnmatch
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    it = root.getFileSystem(conf).listFiles(root, True)
+    out = []
+    while it.hasNext():
+        st = it.next()
+        name = st.getPath().getName()
+        if fnmatch.fnmatchcase(name, glob) and not name.startswith((".", "_")):
+            out.append((st.getPath().toString(), int(st.getLen())))
+    return spark.createDataFrame(out, "file string, length long")
+
+
 def file_audit(spark: SparkSession, path: str, glob: str = "*.txt", header_first: str = "Title") -> DataFrame:
     """S6 on a folder: (file, bad). Empty files are bad (nothing to parse)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file")))
+    files = list_files(spark, path, glob)
     txt = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
            .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-           .where(F.trim(F.regexp_replace("line", "﻿", "")) != ""))
+           .where(F.trim(F.regexp_replace("line", "\ufeff", "")) != ""))
     lines = txt.select("file", F.size(F.split("line", CSV_FIELD_SPLIT)).alias("fields"),
-                       F.regexp_replace("line", '^﻿?"?', "").startswith(header_first).alias("is_header"))
+                       F.regexp_replace("line", '^\ufeff?"?', "").startswith(header_first).alias("is_header"))
     per = audit_lines(lines, "file", "fields", header_col="is_header")
     # paths from the two sources may differ only in the scheme prefix
     key = F.regexp_replace(F.col("file"), "^file:(//)?", "")
