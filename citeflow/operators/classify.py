@@ -92,7 +92,9 @@ def score(model: PipelineModel, df: DataFrame, categorical: Sequence[str]) -> Da
 
 def loss_history(model: PipelineModel) -> list[float]:
     """The optimiser's objective per iteration (train loss)."""
-    return list(model.stages[-1].summary.objectiveHistory)
+    m = model.stages[-1]
+    summ = m.summary() if callable(m.summary) else m.summary
+    return list(summ.objectiveHistory)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -37,7 +37,7 @@ def raw_works(spark, d):
 _WRITTEN: dict = {}
 
 
-def _written_raw(spark, d, files_per_author=2):
+def _written_raw(spark, d, files_per_author=1):
     """Write the raw exports once per (session, tables) and reuse the folder."""
     key = ("raw", spark.sparkContext.applicationId, d, files_per_author)
     if key not in _WRITTEN:
@@ -92,21 +92,19 @@ def q_author_from_file(spark, d):
 def q_tolerant_ingest(spark, d):
     """A folder with an unreadable file and a file of junk lines next to
     the exports; both are skipped, the exports are read whole."""
-    path = scratch_path(spark, "raw-tolerant")
-    X.write_raw_exports(raw_works(spark, d), path)
+    junk = scratch_path(spark, "raw-junk")
     spark.createDataFrame([("not an export, no header",)], "value string").write.mode("overwrite") \
-        .text(path + "/author=ZZ-junk")
-    raw = X.scan_raw_export(spark, path, tolerant=True)
+        .text(junk + "/author=ZZ-junk")
+    raw = X.scan_raw_export(spark, [_written_raw(spark, d), junk], tolerant=True)
     return raw.groupBy("author").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("ext_filter", sql(SQL_COAUTHOR, body="SELECT count(*) AS n_rows, count(DISTINCT author) AS n_authors FROM coauthor_rows"))
 def q_ext_filter(spark, d):
     """Only ``*.txt`` files are exports; a ``.csv`` copy in the same folder is ignored."""
-    path = scratch_path(spark, "raw-ext")
-    X.write_raw_exports(raw_works(spark, d), path)
-    raw_works(spark, d).select("author", "title").write.mode("overwrite").csv(path + "/author=copy-as-csv")
-    raw = X.scan_raw_export(spark, path, glob="*.txt")
+    copy = scratch_path(spark, "raw-csv-copy")
+    raw_works(spark, d).select("author", "title").write.mode("overwrite").csv(copy + "/author=copy-as-csv")
+    raw = X.scan_raw_export(spark, [_written_raw(spark, d), copy], glob="*.txt")
     return raw.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("author").alias("n_authors"))
 
 

@@ -62,7 +62,7 @@ def _reader(spark: SparkSession, glob: str, encoding: str, tolerant: bool):
     return r
 
 
-def scan_raw_export(spark: SparkSession, path: str, columns: Sequence[str] = tuple(RAW_COLUMNS),
+def scan_raw_export(spark: SparkSession, path: str | list[str], columns: Sequence[str] = tuple(RAW_COLUMNS),
                     glob: str = "*.txt", encoding: str = "UTF-8", tolerant: bool = True) -> DataFrame:
     """S1 (+ S5 encoding, S8 tolerance, S9 extension filter, P13 author).
 
@@ -71,7 +71,8 @@ def scan_raw_export(spark: SparkSession, path: str, columns: Sequence[str] = tup
     number: that drops the preamble, the blank line and the header. Returns
     snake_case columns plus ``author`` and ``file``.
     """
-    df = _reader(spark, glob, encoding, tolerant).schema(_string_schema(columns)).csv(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    df = _reader(spark, glob, encoding, tolerant).schema(_string_schema(columns)).csv(paths)
     df = df.where(F.col("`Total Citations`").try_cast("double").isNotNull())
     named = [c for c in columns if not c.isdigit()]
     years = [c for c in columns if c.isdigit()]

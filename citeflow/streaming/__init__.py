@@ -1 +1,6 @@
+"""Streaming: intentionally empty.
 
+The reference has no stream, watermark, event-time window or stateful
+operator; every input is a folder of files read in batch (see
+``citeflow.sources``).
+"""
