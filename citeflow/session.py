@@ -63,7 +63,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/citeflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage with a table written to the shared folder.
+
+    Survives executor loss like a reliable checkpoint, and unlike
+    ``checkpoint()`` the re-read table carries its real file size as
+    statistics: a checkpointed plan keeps its origin's size estimate, and in
+    an iterative job those estimates multiply across joins level after level
+    until the optimizer spends minutes on big-integer arithmetic.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
