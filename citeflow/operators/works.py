@@ -295,6 +295,8 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order_col: str, keep: S
     key holding a third of the rows never lands whole in one task (a
     ``row_number`` window would sort the whole group there).
     """
+    if not keep:  # plain min: a hash aggregate (a struct min plans as a sort aggregate)
+        return df.groupBy(*keys).agg(F.min(order_col).alias(order_col))
     s = F.min(F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in keep])).alias("_first")
     return (df.groupBy(*keys).agg(s)
             .select(*keys, F.col("_first._o").alias(order_col), *[F.col(f"_first.{c}").alias(c) for c in keep]))
