@@ -17,8 +17,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,28 +97,18 @@ def silhouette_sq(df: DataFrame, x: str = "x", label: str = "cluster") -> DataFr
 
     Per row: a = D(x, own)/(n_own - 1), b = min over other clusters of
     D(x, C)/n_C with D(x, C) = n_C |x|^2 - 2 x.S_C + Q_C; s = (b - a)/max(a, b);
-    a singleton cluster scores 0. (The Euclidean, non-squared silhouette has
-    no such decomposition; this is the form Spark ML's ClusteringEvaluator
-    uses, named differently on purpose.)
+    a singleton cluster scores 0. This is exactly Spark ML's
+    ClusteringEvaluator (squaredEuclidean), which computes it JVM-side from
+    the per-cluster sums, so that is what runs. (The Euclidean, non-squared
+    silhouette has no such decomposition; named differently on purpose.)
     """
-    sums = cluster_sums(df, x, label)
-    if len(sums) < 2:
-        return df.sparkSession.createDataFrame([(None,)], "silhouette_sq double")
-    xx = F.aggregate(F.col(x), F.lit(0.0), lambda a, v: a + v * v)
-    terms = []
-    for t in sums:
-        s = F.array(*[F.lit(float(v)) for v in t["s"]])
-        dot = F.aggregate(F.zip_with(F.col(x), s, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-        tot = F.lit(float(t["n"])) * xx - 2 * dot + F.lit(float(t["q"]))
-        terms.append(F.struct(F.lit(t["label"]).alias("c"), F.lit(t["n"]).alias("n"), tot.alias("tot")))
-    arr = F.array(*terms)
-    own = F.filter(arr, lambda e: e["c"] == F.col(label))[0]
-    others = F.filter(arr, lambda e: e["c"] != F.col(label))
-    b = F.array_min(F.transform(others, lambda e: e["tot"] / e["n"]))
-    a = F.when(own["n"] > 1, own["tot"] / (own["n"] - 1))
-    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise(
-        F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0)))
-    return df.select(s.alias("s")).agg(F.avg("s").alias("silhouette_sq"))
+    spark = df.sparkSession
+    if df.select(label).distinct().limit(2).count() < 2:
+        return spark.createDataFrame([(None,)], "silhouette_sq double")
+    ev = ClusteringEvaluator(featuresCol="_v", predictionCol="_lab", metricName="silhouette",
+                             distanceMeasure="squaredEuclidean")
+    value = ev.evaluate(df.select(array_to_vector(F.col(x)).alias("_v"), F.col(label).cast("double").alias("_lab")))
+    return spark.createDataFrame([(float(value),)], "silhouette_sq double")
 
 
 # -- M2 / M3 -----------------------------------------------------------------------------------------
