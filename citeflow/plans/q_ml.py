@@ -62,8 +62,62 @@ def q_kmeans_authors(spark, d):
 
 @register("kmeans_elbow")
 def q_kmeans_elbow(spark, d):
-    z = scaled_features(spark, d)
-    return K.kmeans_elbow(z, ["publications_z", "total_cites_z"], range(1, 11), SEED)
+    """M3 on the page's input: scaled (publications, patents) per author."""
+    z = combined_features(spark, d)
+    return K.kmeans_elbow(z, ["publications_z", "patents_z"], range(1, 11), SEED)
+
+
+def combined_features(spark, d):
+    """J2 output scaled: works per author full-outer distinct patents per
+    inventor, zeros filled, then (publications, patents) z-scores."""
+    from citeflow.operators import timeline as T
+    works = B.works_orders(spark, d).withColumn("author", F.concat(F.lit("U"), F.col("author").cast("string")))
+    left = W.count_and_sum(works)
+    right = W.distinct_patents(B.patents_events(spark, d)).withColumnRenamed("inventor", "author")
+    j = T.outer_join_fill(left, right, "author", ["publications", "total_cites", "patents"])
+    return K.standard_scale(j, ["publications", "patents"])
+
+
+@register("standard_scale_combined", sql(SQL_WORKS, """
+patents AS (SELECT upper('u' || CAST(user_id AS VARCHAR)) AS inventor, event_id AS patent FROM events WHERE event_type = 'purchase'),
+j AS (SELECT coalesce(w.author, p.inventor) AS author, coalesce(w.publications, 0) AS publications, coalesce(p.patents, 0) AS patents
+      FROM (SELECT 'U' || CAST(author AS VARCHAR) AS author, count(*) AS publications FROM works GROUP BY 1) w
+      FULL OUTER JOIN (SELECT inventor, count(DISTINCT patent) AS patents FROM patents GROUP BY inventor) p
+      ON w.author = p.inventor)""", body="""
+SELECT author,
+       round(CASE WHEN stddev_pop(publications) OVER () > 0
+                  THEN (publications - avg(publications) OVER ()) / stddev_pop(publications) OVER () ELSE 0 END, 6) AS publications_z,
+       round(CASE WHEN stddev_pop(patents) OVER () > 0
+                  THEN (patents - avg(patents) OVER ()) / stddev_pop(patents) OVER () ELSE 0 END, 6) AS patents_z
+FROM j"""))
+def q_standard_scale_combined(spark, d):
+    z = combined_features(spark, d)
+    return z.select("author", F.round("publications_z", 6).alias("publications_z"),
+                    F.round("patents_z", 6).alias("patents_z"))
+
+
+@register("kmeans_combined")
+def q_kmeans_combined(spark, d):
+    """M2 on the second data set of the page: (publications, patents)."""
+    _model, lab = K.kmeans(combined_features(spark, d), ["publications_z", "patents_z"], N_CLUSTERS, SEED)
+    return lab.select("author", "cluster")
+
+
+@register("kmedoids_combined")
+def q_kmedoids_combined(spark, d):
+    """M7 on (publications, patents), seeded with the *same* authors as the
+    first data set's medoids, as the page reuses its initial indices."""
+    first = K.as_array(scaled_features(spark, d), ["publications_z", "total_cites_z"])
+    seeds = ["U" + str(a) for a in K.initial_medoids(first, N_CLUSTERS, "author", SEED)]
+    z = K.as_array(combined_features(spark, d), ["publications_z", "patents_z"])
+    _meds, lab = K.kmedoids(z, N_CLUSTERS, "author", "x", SEED, medoids=seeds)
+    return lab.select("author", "cluster")
+
+
+@register("silhouette_combined")
+def q_silhouette_combined(spark, d):
+    _model, lab = K.kmeans(combined_features(spark, d), ["publications_z", "patents_z"], N_CLUSTERS, SEED)
+    return K.silhouette_sq(K.as_array(lab, ["publications_z", "patents_z"]), "x", "cluster")
 
 
 SQL_CENTRES = """pts AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
