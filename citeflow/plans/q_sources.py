@@ -37,7 +37,7 @@ def raw_works(spark, d):
 _WRITTEN: dict = {}
 
 
-def _written_raw(spark, d, files_per_author=1):
+def _written_raw(spark, d, files_per_author=None):
     """Write the raw exports once per (session, tables) and reuse the folder."""
     key = ("raw", spark.sparkContext.applicationId, d, files_per_author)
     if key not in _WRITTEN:

@@ -45,7 +45,7 @@ def author_from_file(path: Column) -> Column:
     """Author := file name without extension. Files written by Spark sit
     in Hive-style ``author=<value>/`` folders; that value wins when present.
     Names arrive URL-escaped (spaces as %20), so '+' is protected, then decoded."""
-    part = F.regexp_extract(path, r"/author=([^/]+)/[^/]*$", 1)
+    part = F.regexp_extract(path, r"/author=([^/]+)/", 1)
     stem = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
     raw = F.when(part != "", part).otherwise(stem)
     return F.url_decode(F.regexp_replace(raw, r"\+", "%2B"))
@@ -202,43 +202,67 @@ def _q(c: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), '"', '""'), F.lit('"'))
 
 
-def write_raw_exports(works: DataFrame, path: str, files_per_author: int = 1, timespan: str = "1900-2024") -> None:
-    """Write F-RAW files: one folder per author, ``files_per_author`` files in
-    it (rows spread by a hash of the title, so a huge author is split over
-    several writers), each with its own preamble and header. BOM + CRLF as in
-    the shipped exports. ``works`` needs ``author`` and the RAW_COLUMNS in
-    snake_case (missing ones are written empty; years by their digits)."""
+def _file_numbers(df: DataFrame, files_per_author: int | None, max_rows_per_file: int) -> DataFrame:
+    """Add ``file_no``: which of its author's files a row goes to. The number
+    of files per author is fixed, or ceil(rows / max_rows_per_file) from a
+    per-author count (an aggregate joined back by author; AQE splits a hot
+    author on the big side), and rows are spread by a hash of the title."""
+    if files_per_author:
+        nf = F.lit(int(files_per_author))
+    else:
+        counts = df.groupBy("author").agg(F.ceil(F.count(F.lit(1)) / F.lit(max_rows_per_file)).alias("_nf"))
+        df = df.join(counts, "author")
+        nf = F.col("_nf")
+    out = df.withColumn("file_no", F.pmod(F.xxhash64(F.col("title").cast("string")), nf).cast("int"))
+    return out.drop("_nf") if not files_per_author else out
+
+
+def _write_files(lines: DataFrame, path: str, line_sep: str = "\n") -> None:
+    """One text file per (author, file_no): the derived key guarantees a real
+    repartition (no upstream exchange is partitioned by it), so a file's
+    lines share one task, in order; Hive-style folders author=/file_no=."""
+    allr = lines.withColumn("_key", F.xxhash64("author", "file_no"))
+    (allr.repartition("_key").sortWithinPartitions("author", "file_no", "_o", "_t")
+     .select("author", "file_no", "value").write.mode("overwrite").option("lineSep", line_sep)
+     .partitionBy("author", "file_no").text(path))
+
+
+def write_raw_exports(works: DataFrame, path: str, files_per_author: int | None = None,
+                      max_rows_per_file: int = 100_000, timespan: str = "1900-2024") -> None:
+    """Write F-RAW files: one folder per author holding one or more files
+    (``files_per_author``, or enough to keep each under ``max_rows_per_file``
+    rows, so a huge author is split over several writers), each with its own
+    preamble and header. BOM + CRLF as in the shipped exports. ``works`` needs
+    ``author`` and the RAW_COLUMNS in snake_case (missing ones are written
+    empty; years by their digits)."""
     cols = set(works.columns)
 
     def field(c):
         k = c if c.isdigit() else snake(c)
         return F.col(f"`{k}`") if k in cols else F.lit(None).cast("string")
     row_line = F.concat_ws(",", *[_q(field(c)) for c in RAW_COLUMNS])
-    salt = F.pmod(F.xxhash64(F.col("title")), F.lit(files_per_author)) if files_per_author > 1 else F.lit(0)
-    rows = works.select(F.col("author").cast("string").alias("author"), salt.alias("_f"),
-                        F.lit(4).alias("_o"), F.col("title").cast("string").alias("_t"), row_line.alias("value"))
-    keys = rows.select("author", "_f").distinct()
+    base = works.select(F.col("author").cast("string").alias("author"), F.col("title").cast("string").alias("title"),
+                        row_line.alias("value"))
+    rows = _file_numbers(base, files_per_author, max_rows_per_file) \
+        .select("author", "file_no", F.lit(4).alias("_o"), F.col("title").alias("_t"), "value")
+    keys = rows.select("author", "file_no").distinct()
     header = ",".join(f'"{c}"' for c in RAW_COLUMNS)
-    pre = keys.select("author", "_f", F.explode(F.array(
-        F.struct(F.lit(0).alias("_o"), F.concat(F.lit("﻿"), F.col("author"), F.lit(" (Author)")).alias("value")),
+    pre = keys.select("author", "file_no", F.explode(F.array(
+        F.struct(F.lit(0).alias("_o"), F.concat(F.lit("\ufeff"), F.col("author"), F.lit(" (Author)")).alias("value")),
         F.struct(F.lit(1).alias("_o"), F.lit(f"Timespan: {timespan}.").alias("value")),
         F.struct(F.lit(2).alias("_o"), F.lit("").alias("value")),
         F.struct(F.lit(3).alias("_o"), F.lit(header).alias("value")))).alias("p")) \
-        .select("author", "_f", F.col("p._o").alias("_o"), F.lit(None).cast("string").alias("_t"),
+        .select("author", "file_no", F.col("p._o").alias("_o"), F.lit(None).cast("string").alias("_t"),
                 F.col("p.value").alias("value"))
-    allr = rows.unionByName(pre)
-    # a derived key: no upstream exchange is partitioned by it, so the
-    # repartition below always happens and a file's lines share one task
-    allr = allr.withColumn("_key", F.xxhash64("author", "_f"))
-    (allr.repartition("_key").sortWithinPartitions("author", "_f", "_o", "_t")
-     .select("author", "value").write.mode("overwrite").option("lineSep", "\r\n")
-     .partitionBy("author").text(path))
+    _write_files(rows.unionByName(pre), path, "\r\n")
 
 
-def write_curated(cells: DataFrame, path: str) -> None:
+def write_curated(cells: DataFrame, path: str, files_per_author: int | None = None,
+                  max_rows_per_file: int = 100_000) -> None:
     """Write F-CUR files from long curated rows (fixed columns + year, cites):
     one folder per author; the header lists the fixed columns and the years
-    that author has non-zero cells in, so headers differ between files."""
+    that author has non-zero cells in, so headers differ between authors (and
+    agree between the files of one author)."""
     fixed = [snake(c) for c in CURATED_FIXED_COLUMNS]
     have = set(cells.columns)
 
@@ -259,12 +283,11 @@ def write_curated(cells: DataFrame, path: str) -> None:
     cells_txt = F.transform("years", lambda y: F.coalesce(F.col("cells")[y].cast("long").cast("string"), F.lit("0")))
     line = F.concat_ws(",", *[csvq(v) for v in vals], F.array_join(cells_txt, ","))
     line = F.when(F.size("years") > 0, line).otherwise(F.concat_ws(",", *[csvq(v) for v in vals]))
-    data = j.select(F.col("author").cast("string").alias("author"), F.lit(1).alias("_o"), line.alias("value"), "title")
-    hdr = years.select(F.col("author").cast("string").alias("author"), F.lit(0).alias("_o"),
-                       F.concat_ws(",", F.lit(",".join(CURATED_FIXED_COLUMNS)),
-                                   F.array_join("years", ",")).alias("value"),
-                       F.lit(None).cast("string").alias("title"))
-    hdr = hdr.withColumn("value", F.regexp_replace("value", ",$", ""))
-    allr = data.unionByName(hdr).withColumn("_key", F.xxhash64("author"))
-    (allr.repartition("_key").sortWithinPartitions("author", "_o", "title")
-     .select("author", "value").write.mode("overwrite").partitionBy("author").text(path))
+    data = _file_numbers(j.select(F.col("author").cast("string").alias("author"), F.col("title").cast("string")
+                                  .alias("title"), line.alias("value"), "years"), files_per_author, max_rows_per_file)
+    hdr = (data.select("author", "file_no", "years").dropDuplicates(["author", "file_no"])
+           .select("author", "file_no", F.lit(0).alias("_o"), F.lit(None).cast("string").alias("_t"),
+                   F.regexp_replace(F.concat_ws(",", F.lit(",".join(CURATED_FIXED_COLUMNS)),
+                                                F.array_join("years", ",")), ",$", "").alias("value")))
+    body = data.select("author", "file_no", F.lit(1).alias("_o"), F.col("title").alias("_t"), "value")
+    _write_files(body.unionByName(hdr), path)

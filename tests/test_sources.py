@@ -56,3 +56,20 @@ def test_scan_curated_different_headers(spark, tmp_dir):
 def test_tolerant_scan_skips_junk(spark, tmp_dir):
     write(tmp_dir, "junk.txt", "no header here\n\x00\x01 binary-ish\n")
     assert X.scan_raw_export(spark, tmp_dir).count() == 0
+
+
+def test_writers_split_large_authors(spark, tmp_dir):
+    rows = [("BIG", f"T{i}", float(i % 3)) for i in range(9)] + [("small", "S1", 1.0)]
+    works = spark.createDataFrame(rows, "author string, title string, total_citations double")
+    raw_dir = os.path.join(tmp_dir, "raw")
+    X.write_raw_exports(works, raw_dir, max_rows_per_file=4)
+    files = [os.path.join(r, f) for r, _, fs in os.walk(raw_dir) for f in fs if f.endswith(".txt")]
+    assert len([f for f in files if "author=BIG" in f]) == 3
+    back = X.scan_raw_export(spark, raw_dir)
+    assert sorted((r.author, r.title) for r in back.collect()) == sorted((a, t) for a, t, _ in rows)
+    cur = spark.createDataFrame([(a, t, 2020, c) for a, t, c in rows], "author string, title string, year int, cites double")
+    cur_dir = os.path.join(tmp_dir, "cur")
+    X.write_curated(cur, cur_dir, max_rows_per_file=4)
+    got = sorted((r.author, r.title, r.cites) for r in X.scan_curated(spark, cur_dir).collect())
+    assert got == sorted(rows)
+    assert all(not r.bad for r in X.file_audit(spark, cur_dir).collect())
