@@ -169,7 +169,7 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame
         st = it.next()
         name = st.getPath().getName()
         if fnmatch.fnmatchcase(name, glob) and not name.startswith((".", "_")):
-            out.append((st.getPath().toString(), int(st.getLen())))
+            out.append((st.getPath().toUri().toString(), int(st.getLen())))   # URL-encoded, like _metadata
     return spark.createDataFrame(out, "file string, length long")
 
 
@@ -182,8 +182,8 @@ def file_audit(spark: SparkSession, path: str, glob: str = "*.txt", header_first
     lines = txt.select("file", F.size(F.split("line", CSV_FIELD_SPLIT)).alias("fields"),
                        F.regexp_replace("line", '^\ufeff?"?', "").startswith(header_first).alias("is_header"))
     per = audit_lines(lines, "file", "fields", header_col="is_header")
-    # paths from the two sources may differ only in the scheme prefix
-    key = F.regexp_replace(F.col("file"), "^file:(//)?", "")
+    # both sides are URL-encoded paths; they may differ in the scheme prefix
+    key = F.regexp_replace(F.col("file"), "^file:/*", "/")
     return (files.withColumn("_k", key).join(per.withColumn("_k", key).drop("file"), "_k", "left")
             .select("file", F.coalesce(F.col("bad"), F.lit(True)).alias("bad")))
 

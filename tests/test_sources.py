@@ -12,14 +12,14 @@ def write(path, name, text, enc="utf-8"):
 
 def test_file_audit(spark, tmp_dir):
     good = HEADER + "\nT1,A,1,,S,2020,1,,,3,1.0,3\n"
-    write(tmp_dir, "good.txt", good)
+    write(tmp_dir, "good file.txt", good)
     write(tmp_dir, "short.txt", HEADER + "\nT1,A,1\n")
     write(tmp_dir, "long.txt", HEADER + "\nT1,A,1,,S,2020,1,,,3,1.0,3,9,9\n")
     write(tmp_dir, "quoted.txt", HEADER + '\n"T, with comma",A,1,,S,2020,1,,,3,1.0,3\n')
     write(tmp_dir, "empty.txt", "")
     write(tmp_dir, "ignored.csv", "x\n1,2,3,4,5,6,7,8,9,10,11,12,13,14,15\n")
     got = {os.path.basename(r.file): r.bad for r in X.file_audit(spark, tmp_dir).collect()}
-    assert got == {"good.txt": False, "short.txt": False, "long.txt": True, "quoted.txt": False, "empty.txt": True}
+    assert got == {"good%20file.txt": False, "short.txt": False, "long.txt": True, "quoted.txt": False, "empty.txt": True}
     counts = {r.outcome: r.files for r in X.file_outcome_counts(X.file_audit(spark, tmp_dir)).collect()}
     assert counts == {"ok": 3, "bad": 2}
 
