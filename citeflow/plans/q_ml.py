@@ -282,6 +282,15 @@ def q_min_over_history(spark, d):
     return spark.createDataFrame([(float(min(h)) if h else None,)], "min_loss double")
 
 
+@register("validation_curve")
+def q_validation_curve(spark, d):
+    """M14 train + validation loss by iteration count (A14, the page's
+    minimum validation loss, is the minimum of ``val_mae`` here)."""
+    pubs = publications(spark, d)
+    train, _test = C.train_test_split(pubs, "work_id")
+    return C.validation_curve(train, NUMERIC, CATEGORICAL, HASHED, "label", steps=(5, 10, 20, 35, 50))
+
+
 @register("score_author")
 def q_score_author(spark, d):
     """M18 for every author: mean, max and first-row (by work id) probability."""
