@@ -83,6 +83,23 @@ def scan_raw_export(spark: SparkSession, path: str | list[str], columns: Sequenc
         *[F.col(f"`{y}`") for y in years])
 
 
+def raw_rejected_rows(spark: SparkSession, path: str | list[str], columns: Sequence[str] = tuple(RAW_COLUMNS),
+                      glob: str = "*.txt", encoding: str = "UTF-8") -> DataFrame:
+    """S8's rejected-rows table: lines of the export files that are neither
+    preamble (``… (Author)``, ``Timespan: …``), header, blank, nor a data row
+    with a numeric ``Total Citations``. (file, line fields as read)."""
+    paths = [path] if isinstance(path, str) else list(path)
+    df = _reader(spark, glob, encoding, True).schema(_string_schema(columns)).csv(paths)
+    first = F.regexp_replace(F.coalesce(F.col("`Title`"), F.lit("")), "^\ufeff", "")
+    preamble = first.endswith(" (Author)") | first.startswith("Timespan:")
+    header = first == F.lit(columns[0])
+    blank = F.array_compact(F.array(*[F.col(f"`{c}`") for c in columns[:3]])) == F.array().cast("array<string>")
+    data = F.col("`Total Citations`").try_cast("double").isNotNull()
+    return (df.where(~(preamble | header | blank | data))
+            .select(F.col("_metadata.file_path").alias("file"), author_from_file(F.col("_metadata.file_path")).alias("author"),
+                    F.col("`Title`").alias("first_field")))
+
+
 def raw_year_cells(raw: DataFrame, keep: Sequence[str] = ("author", "title", "file")) -> DataFrame:
     """Year columns of a raw scan -> long (…, year, cites), numbers parsed."""
     years = [c for c in raw.columns if c.isdigit()]

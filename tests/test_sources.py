@@ -40,6 +40,7 @@ def test_scan_raw_export_bom_crlf(spark, tmp_dir):
     write(tmp_dir, "PEREZ LOPEZ JUAN.txt", text)
     write(tmp_dir, "NO EXT COPY.csv", text)
     raw = X.scan_raw_export(spark, tmp_dir)
+    assert X.raw_rejected_rows(spark, tmp_dir).count() == 0
     rows = raw.collect()
     assert len(rows) == 1 and rows[0].author == "PEREZ LOPEZ JUAN" and rows[0].title == "A title, with comma"
     cur = X.curate_raw(raw).collect()
@@ -56,6 +57,8 @@ def test_scan_curated_different_headers(spark, tmp_dir):
 def test_tolerant_scan_skips_junk(spark, tmp_dir):
     write(tmp_dir, "junk.txt", "no header here\n\x00\x01 binary-ish\n")
     assert X.scan_raw_export(spark, tmp_dir).count() == 0
+    rejected = X.raw_rejected_rows(spark, tmp_dir).collect()
+    assert len(rejected) == 2 and {r.author for r in rejected} == {"junk"}
 
 
 def test_writers_split_large_authors(spark, tmp_dir):
