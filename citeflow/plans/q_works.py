@@ -389,3 +389,35 @@ def q_union_files(spark, d):
     works = B.works_orders(spark, d).select(F.col("author").cast("string").alias("author"), "work_id", "pub_date", "cites")
     pubs = B.pubs_events(spark, d).select("author", "work_id", "pub_date")
     return W.union_files([works, pubs])
+
+
+# -- E4: search one author (profile summary and yearly series) ----------------------------------
+
+@register("search_author_summary", sql(SQL_WORKS, """
+pick AS (SELECT author FROM works GROUP BY author ORDER BY count(*) DESC, author LIMIT 1),
+sel AS (SELECT * FROM works WHERE author = (SELECT author FROM pick) AND year(pub_date) >= 1960),
+ranked AS (SELECT author, cites, row_number() OVER (PARTITION BY author ORDER BY cites DESC NULLS LAST) AS rn FROM sel)""",
+body="""
+SELECT s.author, s.publications, s.total_cites, s.mean_avg_per_year, h.h_index
+FROM (SELECT author, count(*) AS publications, CAST(sum(cites) AS BIGINT) AS total_cites,
+             round(avg(avg_per_year), 6) AS mean_avg_per_year FROM sel GROUP BY author) s
+JOIN (SELECT author, count(*) FILTER (WHERE cites >= rn) AS h_index FROM ranked GROUP BY author) h USING (author)"""))
+def q_search_author_summary(spark, d):
+    """P6 (the searched author) -> P8 (dates from 1960) -> A8 summary."""
+    works = B.works_orders(spark, d)
+    pick = W.topk_authors(W.rows_per_author(works), 1)
+    mine = W.min_year_filter(W.author_filter(works, _scalar(pick, "author")), 1960)
+    return W.author_summary(mine).withColumn("mean_avg_per_year", F.round("mean_avg_per_year", R6))
+
+
+@register("search_author_series", sql(SQL_DATES, f"""
+pick AS (SELECT author FROM dates GROUP BY author ORDER BY count(*) DESC, author LIMIT 1)""", body=f"""
+SELECT year, count(*) AS publications, CAST(sum(cites) AS BIGINT) AS sum_cites
+FROM (SELECT {SQL_RY} AS year, cites FROM dates WHERE author = (SELECT author FROM pick))
+WHERE year IS NOT NULL GROUP BY year"""))
+def q_search_author_series(spark, d):
+    """E4 chart input: the searched author's works and citations per regex year (A4 + A5)."""
+    ds = B.date_strings(spark, d)
+    pick = W.topk_authors(W.rows_per_author(ds), 1)
+    mine = W.author_filter(ds, _scalar(pick, "author"))
+    return W.per_year(mine.select(S.regex_year("pub_date_raw").alias("year"), "cites"))
