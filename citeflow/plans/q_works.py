@@ -421,3 +421,40 @@ def q_search_author_series(spark, d):
     pick = W.topk_authors(W.rows_per_author(ds), 1)
     mine = W.author_filter(ds, _scalar(pick, "author"))
     return W.per_year(mine.select(S.regex_year("pub_date_raw").alias("year"), "cites"))
+
+
+# -- L2 in full: top-k works with their non-empty year columns ----------------------------------
+
+TOPK_FIRST_YEAR = 1995  # year columns considered (the page's ">= first year" cut)
+
+
+def works_with_years(spark, d):
+    """The publications table: works (orders) plus one citation column per
+    year of the grid (lineitem quantity by ship year), 0 where none."""
+    li = B.table(spark, d, "lineitem").withColumn("_y", F.year("l_shipdate"))
+    cells = li.groupBy(F.col("l_orderkey").alias("work_id")).pivot("_y", B.MATRIX_YEARS).agg(F.sum("l_quantity"))
+    t = B.works_orders(spark, d).join(cells, "work_id", "left")
+    return t.select(*[c for c in t.columns if not c.isdigit()],
+                    *[S.fill_zero(F.col(f"`{y}`")).cast("double").alias(str(y)) for y in B.MATRIX_YEARS])
+
+
+@register("topk_works_years", sql(SQL_WORKS, """
+cells AS (SELECT l_orderkey AS work_id, year(l_shipdate) AS year, sum(l_quantity) AS cites FROM lineitem GROUP BY 1, 2),
+rng AS (SELECT * FROM works WHERE year(pub_date) BETWEEN 1996 AND 1999),
+live AS (SELECT DISTINCT c.year FROM rng JOIN cells c USING (work_id)
+         WHERE c.year BETWEEN 1995 AND 2005 AND c.cites <> 0),
+top AS (SELECT author, count(*) AS n FROM rng GROUP BY author ORDER BY n DESC, author ASC LIMIT 5),
+sel AS (SELECT * FROM rng WHERE author IN (SELECT author FROM top))""", body="""
+SELECT s.author, s.work_id, l.year, coalesce(c.cites, 0.0) AS cites
+FROM sel s CROSS JOIN live l LEFT JOIN cells c ON c.work_id = s.work_id AND c.year = l.year"""))
+def q_topk_works_years(spark, d):
+    """L2 as on the page: P7 -> P2 over the *filtered* rows (before the top-k
+    cut) -> A3 -> L1 -> J4 -> P3. The kept year columns are data-dependent,
+    so the result is returned unpivoted (one row per work and kept year)."""
+    pubs = works_with_years(spark, d)
+    rng = W.date_range_filter(pubs, LO, HI)
+    live = W.active_year_columns(rng, W.year_columns(pubs.columns, lo=TOPK_FIRST_YEAR))
+    top = W.topk_authors(W.rows_per_author(rng), TOPK)
+    out = W.semi_join_topk(rng, top).select("author", "work_id", *[F.col(f"`{y}`") for y in live])
+    long = out.unpivot(["author", "work_id"], [F.col(f"`{y}`") for y in live], "year", "cites")
+    return long.select("author", "work_id", F.col("year").cast("int").alias("year"), "cites")
