@@ -177,3 +177,18 @@ def q_scan_encoding(spark, d):
 
 
 _ = W
+
+
+@register("coauthor_edges_from_exports", sql(SQL_COAUTHOR, """
+pairs AS (
+  SELECT author AS a, unnest(list_filter(string_split(coalesce(corporate, '') || '; ' || coalesce(authors, ''), '; '),
+                                     lambda x: x <> '')) AS b
+  FROM coauthor_rows)""", body="SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM pairs"))
+def q_coauthor_edges_from_exports(spark, d):
+    """E3 from files, as the co-authorship page does it: raw exports
+    -> author from the file name (P13) -> co-author list (P12) -> split (F7)
+    -> undirected deduplicated edges (G1)."""
+    from citeflow.operators import graph as G
+    raw = X.scan_raw_export(spark, _written_raw(spark, d), tolerant=True)
+    rows = raw.select("author", W.derived_coauthor("corporate_authors", "authors").alias("coauthor"))
+    return G.coauthor_edges(rows)
