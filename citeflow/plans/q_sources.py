@@ -192,3 +192,33 @@ def q_coauthor_edges_from_exports(spark, d):
     raw = X.scan_raw_export(spark, _written_raw(spark, d), tolerant=True)
     rows = raw.select("author", W.derived_coauthor("corporate_authors", "authors").alias("coauthor"))
     return G.coauthor_edges(rows)
+
+
+def _before_after_sql():
+    from citeflow.plans.q_timeline import ORACLE_BEFORE_AFTER
+    return ORACLE_BEFORE_AFTER
+
+
+@register("before_after_from_csv", _before_after_sql())
+def q_before_after_from_csv(spark, d):
+    """E2 from files, as the patents page does it: a latin-1 patents CSV
+    (strict ``dd/MM/yyyy``, names normalised) and a UTF-8 publications CSV
+    (lenient ``dd/MM/yyyy``, names trimmed) -> dedup -> before/after counts."""
+    from citeflow.operators import timeline as T
+    pat_path, pub_path = scratch_path(spark, "patents-csv"), scratch_path(spark, "pubs-csv")
+    (B.patents_events(spark, d)
+     .select(F.col("inventor").alias("Inventor"), F.col("patent").alias("Patent"),
+             F.date_format("filing_date", "dd/MM/yyyy").alias("Filing Date"))
+     .write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").csv(pat_path))
+    (B.pubs_events(spark, d)
+     .select(F.col("author").alias("Authors"), F.col("work_id").alias("Title"),
+             F.date_format("pub_date", "dd/MM/yyyy").alias("Publication Date"))
+     .write.mode("overwrite").option("header", True).csv(pub_path))
+    pats = spark.read.option("header", True).option("encoding", "ISO-8859-1") \
+        .schema("Inventor string, Patent long, `Filing Date` string").csv(pat_path)
+    pubs = spark.read.option("header", True).schema("Authors string, Title string, `Publication Date` string").csv(pub_path)
+    pats = pats.select(S.normalize_name("Inventor").alias("inventor"), F.col("Patent").alias("patent"),
+                       S.strict_dmy_date("`Filing Date`").alias("filing_date"))
+    pubs = pubs.select(S.trim_name("Authors").alias("author"),
+                       S.strict_dmy_date("`Publication Date`", strict=False).alias("pub_date"))
+    return T.before_after_count(pats, pubs)

@@ -12,12 +12,15 @@ from citeflow.plans.catalog import SQL_PATENTS, SQL_WORKS, register, sql
 SQL_DEDUP = """pd AS (SELECT inventor, filing_date, min(patent) AS patent FROM patents GROUP BY inventor, filing_date)"""
 
 
-@register("before_after_count", sql(SQL_PATENTS, SQL_DEDUP, body="""
+ORACLE_BEFORE_AFTER = sql(SQL_PATENTS, SQL_DEDUP, body="""
 SELECT *, pubs_after - pubs_before AS change FROM (
 SELECT pd.inventor, pd.filing_date, pd.patent,
        (SELECT count(*) FROM pubs p WHERE p.author = pd.inventor AND p.pub_date < pd.filing_date) AS pubs_before,
        (SELECT count(*) FROM pubs p WHERE p.author = pd.inventor AND p.pub_date >= pd.filing_date) AS pubs_after
-FROM pd)"""))
+FROM pd)""")
+
+
+@register("before_after_count", ORACLE_BEFORE_AFTER)
 def q_before_after_count(spark, d):
     return T.before_after_count(B.patents_events(spark, d), B.pubs_events(spark, d))
 
