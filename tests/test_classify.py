@@ -37,3 +37,17 @@ def test_split_is_deterministic(spark):
     assert tr.count() + te.count() == 1000 and 120 < te.count() < 280
     tr2, _ = C.train_test_split(df.repartition(7), "k")
     assert sorted(r.k for r in tr.collect()) == sorted(r.k for r in tr2.collect())
+
+
+def test_validation_curve_monotone_objective(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(240):
+        y = rnd.randrange(2)
+        rows.append((i, float(rnd.gauss(2.0 * y, 1.0)), float(rnd.gauss(0, 1)), "ab"[rnd.randrange(2)], y))
+    df = spark.createDataFrame(rows, "work_id long, a double, b double, cat string, label int")
+    curve = C.validation_curve(df, ["a", "b"], ["cat"], steps=(2, 6, 12)).orderBy("iterations").collect()
+    objs = [r.train_objective for r in curve]
+    assert [r.iterations for r in curve] == [2, 6, 12]
+    assert all(b <= a + 1e-9 for a, b in zip(objs, objs[1:]))
+    assert all(0 <= r.val_mae <= 1 and r.val_logloss > 0 for r in curve)
