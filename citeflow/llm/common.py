@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeflow.session import cut_lineage, scratch_path, shared_dir  # noqa: F401  (re-exported)
 
@@ -72,12 +73,7 @@ def map_texts(df: DataFrame, text_col: str, out_schema: str, make: Callable[[],
     """
     keep = [c for c in df.columns if c != text_col]
     at = df.columns.index(text_col)
-    new_cols = [f"{n} {t}" for n, t in (x.split(" ", 1) for x in out_schema.split(", "))]
-    kept_schema = df.select(*[F.col(f"`{c}`") for c in keep]).schema
-    schema = kept_schema
-    for x in new_cols:
-        n, t = x.split(" ", 1)
-        schema = schema.add(n, t)
+    schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in keep]).schema, *T.StructType.fromDDL(out_schema)])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeflow.llm import bpe_codec, packing, record_files
+from citeflow.llm import bpe_codec, packing, prefix_forest, quality_model, quality_rules, record_files, secrets, simhash
 from citeflow.llm.common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,47 @@ def op5_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.PATTERN)
     rows = record_files.read_records(spark, folder)
     return rows.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=4, words=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE["op9_quality_rules"] = quality_rules.oracle_sql()
+
+
+def held_out():
+    """Rows that the quality model may not learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+@query
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
+    scored = quality_model.score(docs, quality_model.train(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(secrets.joined(F.col("findings"), secrets.KINDS[:3]), 256).alias("base_sha256"),
+                        secrets.joined(F.col("findings"), secrets.KINDS).alias("spans"))
+
+
+@query
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.withColumnRenamed("id", "vec_id")
