@@ -15,7 +15,7 @@ components, so a large group of near copies does not give all its pairs.
 
 Cases: null, empty and blank texts have fingerprint zero and are linked like any other; documents shorter than a shingle
 are one shingle; repeated rows get equal results; an empty table gives an empty table. All columns of the input are kept;
-it may not have columns named like the results (``fingerprint``, ``component_id``), others are free.
+it may not have columns named like the results (``fingerprint``, ``component_id``, ``component``), others are free.
 """
 
 from __future__ import annotations
@@ -199,7 +199,8 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, tile: int = 32768, most_t
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text",
                     tile: int = 32768) -> DataFrame:
-    """``docs`` without ``text_col``, with ``fingerprint`` (signed long) and ``component_id`` (smallest id reachable).
+    """``docs`` without ``text_col``, with ``fingerprint`` (signed long), ``component_id`` (smallest id reachable) and
+    ``component`` (the component's least fingerprint, which names it also where ids are null).
 
     Rows with a null id take part; a component of null ids only has a null component_id.
     """
@@ -209,5 +210,18 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id")
+    of = rooted.join(least, "root").select(F.col("fp").alias("__fp"), "component_id", F.col("root").alias("component"))
     return base.join(of, F.col("fingerprint") == F.col("__fp")).drop("__fp")
+
+
+def keep_one(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near duplicates (the smallest id, then the smallest hash of the text), all columns.
+
+    Rows equal in id and text are one row.
+    """
+    key = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h")]
+    found = near_duplicates(docs.select(*key, F.col(text_col).alias("__text")), radius, words, "__id", "__text")
+    stays = found.groupBy("component").agg(F.min(F.struct("__id", "__h")).alias("one")).select("one.*")
+    rows = docs.withColumn("__h1", F.xxhash64(text_col)).join(
+        stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__h")), "left_semi")
+    return rows.dropDuplicates([id_col, "__h1"]).drop("__h1")
