@@ -1,7 +1,7 @@
 """Operator 3: order-preserving packing of documents into windows of at most ``window`` tokens.
 
 Each input partition is a stream of tokens, document after document. A dynamic program over the possible cuts (document
-ends, sentence ends, and every 16th token where one sentence is longer than a window) minimises padding plus truncation
+ends, sentence ends, and every 16th token inside a sentence of over 128 tokens) minimises padding plus truncation
 penalties::
 
     best[j] = penalty[j] + min over i < j, at[j] - at[i] <= window of (best[i] + window - (at[j] - at[i]))
@@ -54,21 +54,19 @@ def sentence_end_table(tokenizer_json: bytes) -> np.ndarray:
 
 
 def possible_cuts(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int,
-                  sentence_penalty: float, token_penalty: float, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending cut places in (0, total] and the penalty of each; no two neighbours are over a window apart."""
-    cost = {0: 0.0}
-    at = np.unique(np.concatenate([[0], sentence_ends, doc_ends])).astype(np.int64)
-    at = at[at <= total]
-    gaps = np.flatnonzero(np.diff(np.append(at, total)) > window)
-    ends = np.append(at, total)
-    extra = [np.arange(ends[g] + step, ends[g + 1], step) for g in gaps]
-    forced = np.concatenate(extra).astype(np.int64) if extra else np.empty(0, np.int64)
-    places = np.union1d(at, forced)
-    penalty = np.full(len(places), sentence_penalty)
-    penalty[np.isin(places, forced)] = token_penalty
-    penalty[np.isin(places, doc_ends)] = cost[0]
-    penalty[0] = 0.0
-    return places, penalty
+                  sentence_penalty: float, token_penalty: float, long_sentence: int = 128,
+                  step: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending cut places in [0, total] and the penalty of each; no two neighbours are over a window apart."""
+    cost = np.full(total + 1, np.inf, np.float32)
+    cost[sentence_ends] = sentence_penalty
+    cost[doc_ends] = 0.0
+    cost[0] = 0.0
+    ends = np.append(np.flatnonzero(np.isfinite(cost)), total)
+    for g in np.flatnonzero(np.diff(ends) > min(long_sentence, window)).tolist():
+        inner = cost[ends[g] + step : ends[g + 1] : step]
+        inner[:] = np.minimum(inner, token_penalty)
+    places = np.flatnonzero(np.isfinite(cost))
+    return places, cost[places].astype(np.float64)
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +138,7 @@ class Packer:
         if last:
             ending = best[first:] + [tail_cost(total - int(a), self.window, self.short_penalty) for a in at[first:]]
         else:
-            ending = best[first:] + (at[first:] - total)  # the open end costs nothing yet; equal progress is compared
+            ending = best[first:]  # the open end costs nothing yet
         j = first + int(np.argmin(ending))
         done, cuts = int(at[j]), []
         while j:

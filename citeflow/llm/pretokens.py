@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from unicodedata import normalize
 
 import numpy as np
 import regex
@@ -18,7 +19,9 @@ import regex
 #: Unicode White_Space without U+0020.
 OTHER_SPACE = "\t\n\x0b\x0c\r\x85\xa0                　"
 #: A space with white space on both sides (or at the end of the text): such runs must be split as a whole.
-LOOSE_SPACE = re.compile(f"[ {OTHER_SPACE}] (?:[ {OTHER_SPACE}]|\\Z)")
+LOOSE_SPACE = re.compile(f" (?<=[ {OTHER_SPACE}] )(?=[ {OTHER_SPACE}]|\\Z)")
+#: Punctuation that is a pre-token of its own after a word.
+MARKS = frozenset(".,;:!?")
 #: Characters worked on at a time; cuts fall on single spaces only.
 SEGMENT = 1 << 20
 
@@ -41,17 +44,24 @@ class PieceEncoder(dict):
     """Piece (without the single space before it) -> row in flat arrays of ids.
 
     ``encode_piece(str) -> sequence of int`` encodes a piece *with* its space. Once ``max_pieces`` pieces or ``max_ids``
-    ids are held the table starts anew, so memory is bounded and results do not depend on what it holds.
+    ids are held the table starts anew, so memory is bounded and results do not depend on what it holds. A word with one
+    mark after it is the word and the mark; with ``lower`` (the tokenizer lower-cases) a word is its lower-case form.
     """
 
-    def __init__(self, encode_piece: Callable, max_pieces: int = 700_000, max_ids: int = 6_000_000):
+    def __init__(self, encode_piece: Callable, lower: bool = False, max_pieces: int = 900_000, max_ids: int = 8_000_000):
         super().__init__()
-        self.encode_piece, self.max_pieces, self.max_ids = encode_piece, max_pieces, max_ids
+        self.encode_piece, self.lower, self.max_pieces, self.max_ids = encode_piece, lower, max_pieces, max_ids
+        self.marks = {m: list(encode_piece(m)) for m in MARKS}
         self.begin, self.count, self.flat = array("q"), array("q"), array("i")
 
     def __missing__(self, piece: str) -> int:
+        if piece[-1:] in self.marks and piece[:-1].isalpha() and (not self.lower or self._stays_word(piece)):
+            ids = [*self._ids(piece[:-1]), *self.marks[piece[-1]]]
+        elif self.lower and piece.isascii() and piece.isalpha() and not piece.islower():
+            ids = self._ids(piece.lower())
+        else:
+            ids = self.encode_piece(" " + piece)
         row = len(self.begin)
-        ids = self.encode_piece(" " + piece)
         self.begin.append(len(self.flat))
         self.count.append(len(ids))
         self.flat.extend(ids)
@@ -59,6 +69,15 @@ class PieceEncoder(dict):
             self[piece] = row
         return row
 
+    @staticmethod
+    def _stays_word(piece: str) -> bool:
+        """Normalising and lower-casing leave the letters letters (no combining mark appears before the mark)."""
+        return piece.isascii() or (max(piece) < "ɐ" and "İ" not in piece)
+
+    def _ids(self, piece: str) -> array:
+        row = self[piece]
+        return self.flat[self.begin[row] : self.begin[row] + self.count[row]]
+
     def _reset(self) -> None:
         self.clear()
         self.begin, self.count, self.flat = array("q"), array("q"), array("i")
@@ -106,8 +125,6 @@ def library_piece_encoder(tokenizer_json: bytes, pattern: str, lower: bool) -> C
     and lower-cases; pieces with characters above U+024F go through the library's whole chain, so that its own Unicode
     tables decide.
     """
-    from unicodedata import normalize
-
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(tokenizer_json.decode())
@@ -115,16 +132,20 @@ def library_piece_encoder(tokenizer_json: bytes, pattern: str, lower: bool) -> C
     model, alphabet = tok.model, byte_to_char()
     find, chars = regex.compile(pattern).findall, [alphabet[b] for b in range(256)]
     beyond = re.compile("[ɐ-\U0010ffff]").search
+    space = "" if lower else chars[32]
 
     def encode_piece(piece: str) -> list[int]:
-        if beyond(piece):
+        body = piece[1:]
+        if body.isascii():
+            if body.isalpha() and piece[0] == " ":  # one pre-token of characters that stand for themselves
+                return [t.id for t in model.tokenize(space + (body.lower() if lower else body))]
+        elif beyond(piece):
             return tok.encode(piece, add_special_tokens=False).ids
         if lower:
             piece = normalize("NFC", piece).lower()
         out: list[int] = []
         for word in find(piece):
-            mapped = "".join([chars[b] for b in word.encode()])
-            out.extend([t.id for t in model.tokenize(mapped)])
+            out.extend([t.id for t in model.tokenize("".join([chars[b] for b in word.encode()]))])
         return out
 
     return encode_piece
@@ -135,7 +156,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def library_encoder(tokenizer_json: bytes, pattern: str, lower: bool) -> PieceEncoder:
-    return PieceEncoder(library_piece_encoder(tokenizer_json, pattern, lower))
+    return PieceEncoder(library_piece_encoder(tokenizer_json, pattern, lower), lower)
 
 
 _SHARED: dict[tuple, PieceEncoder] = {}
