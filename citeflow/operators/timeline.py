@@ -8,6 +8,7 @@ row per distinct day however many works they have.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -29,18 +30,20 @@ def before_after_count(patents: DataFrame, pubs: DataFrame, inventor_col: str =
     """J5 + P15: per patent row, the inventor's publications dated strictly
     before the filing date, on or after it (equal dates count as after), and
     the change after - before. Inventors without publications get (0, 0);
-    publications without a date count in neither.
+    publications without a date count in neither. A null inventor matches no
+    author, and a patent without a filing date counts (0, 0).
 
     Plan: publications -> (author, day, n) [map-side combine]; union the patent
     rows; ``sum(n)`` over ``rangeBetween(unboundedPreceding, -1)`` on the day
     number gives *before*; the partition total minus it gives *after*.
     """
     if years:
-        patents = patents.where(F.year(date_col).between(*years))
-        pubs = pubs.where(F.year(pub_date_col).between(*years))
+        lo, hi = dt.date(years[0], 1, 1), dt.date(years[1], 12, 31)
+        patents = patents.where(F.col(date_col).between(F.lit(lo), F.lit(hi)))
+        pubs = pubs.where(F.col(pub_date_col).between(F.lit(lo), F.lit(hi)))
     if dedup:
         patents = dedup_patents(patents, inventor_col, date_col, patent_col)
-    hist = (pubs.where(F.col(pub_date_col).isNotNull())
+    hist = (pubs.where(F.col(pub_date_col).isNotNull() & F.col(author_col).isNotNull())
             .groupBy(F.col(author_col).alias("_k"), F.unix_date(F.col(pub_date_col)).alias("_d"))
             .agg(F.count(F.lit(1)).alias("_n")))
     pats = patents.select(F.col(inventor_col).alias("_k"), F.unix_date(F.col(date_col)).alias("_d"),
@@ -48,8 +51,9 @@ def before_after_count(patents: DataFrame, pubs: DataFrame, inventor_col: str =
     u = pats.unionByName(hist, allowMissingColumns=True)
     w_before = Window.partitionBy("_k").orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy("_k")
-    before = F.coalesce(F.sum("_n").over(w_before), F.lit(0)).cast("long")
-    total = F.sum("_n").over(w_all).cast("long")
+    dated = F.col("_d").isNotNull()
+    before = F.when(dated, F.coalesce(F.sum("_n").over(w_before), F.lit(0))).otherwise(0).cast("long")
+    total = F.when(dated, F.sum("_n").over(w_all)).otherwise(0).cast("long")
     out = (u.select("_k", inventor_col, date_col, patent_col, before.alias("pubs_before"), total.alias("_tot"))
            .where(F.col(patent_col).isNotNull()))
     return out.select(inventor_col, date_col, patent_col, "pubs_before",

@@ -42,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only
-    when neither is set (a bare local test session) do we pick a local folder.
+    when neither is set on a local master (a bare test session) do we pick a
+    local folder; on a cluster that would not be shared, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -51,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
         # the context dir is a uuid subfolder of the configured one
         d = cur.rsplit("/", 1)[0]
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="citeflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not cur:
@@ -63,6 +66,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/citeflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_stage(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """Write a table to the shared folder; returns it re-read, and its path for ``drop_stage``."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def drop_stage(spark: SparkSession, path: str | None) -> None:
+    """Delete one stage that ``write_stage`` wrote and that nothing reads any more."""
+    if path:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage with a table written to the shared folder.
 
@@ -72,7 +89,4 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     an iterative job those estimates multiply across joins level after level
     until the optimizer spends minutes on big-integer arithmetic.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return write_stage(df, name)[0]

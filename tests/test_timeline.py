@@ -13,6 +13,17 @@ def test_before_after_edges(spark):
     assert got == {"A": (1, 1, 2, 1), "Z": (3, 0, 0, 0)}
 
 
+def test_before_after_nulls(spark):
+    d = dt.date
+    pats = spark.createDataFrame([(None, 1, d(2010, 1, 1)), ("A", 2, None), ("A", 3, d(2010, 1, 1)), ("A", 4, d(2001, 1, 1))],
+                                 "inventor string, patent int, filing_date date")
+    pubs = spark.createDataFrame([(None, d(2009, 1, 1)), ("A", d(2009, 1, 1)), ("A", d(2004, 12, 31))], "author string, pub_date date")
+    got = {r.patent: (r.pubs_before, r.pubs_after) for r in T.before_after_count(pats, pubs).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (2, 0), 4: (0, 2)}
+    got = {r.patent: (r.pubs_before, r.pubs_after) for r in T.before_after_count(pats, pubs, years=(2005, 2023)).collect()}
+    assert got == {1: (0, 0), 3: (1, 0)}
+
+
 def test_before_after_property(spark):
     import random
     rnd = random.Random(3)
