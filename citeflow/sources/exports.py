@@ -1,19 +1,18 @@
 """Citation-export files: S1-S10 and P13.
 
-Raw exports: two preamble lines, a blank line, a quoted header, quoted rows,
-146 columns (21 named + one per year 1900-2024). Curated files: plain CSV with
-a header that differs per file (11 fixed columns + the years the author has
-non-zero cells in). Both are read with Spark's CSV reader over *all* files of
-a folder at once; nothing is opened file by file on the driver.
+Raw exports: preamble lines, a blank line, a quoted header, quoted rows. Curated files: plain CSV with a header that
+differs per file (fixed columns and the years the author has non-zero cells in). Both are read with Spark's CSV reader
+over all files of a folder at once; names and years come from each file's own header, and a row is one work: its named
+fields, and its year cells in a map. ``citations`` turns the maps into long rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from citeflow.functions import scalars as S
 
@@ -24,8 +23,6 @@ RAW_NAMED_COLUMNS = [
     "Ending Page", "Article Number", "DOI", "Conference Title", "Conference Date", "Total Citations",
     "Average per Year",
 ]
-RAW_YEARS = [str(y) for y in range(1900, 2025)]   # one column per year, 1900..2024
-RAW_COLUMNS = RAW_NAMED_COLUMNS + RAW_YEARS
 CURATED_FIXED_COLUMNS = [
     "Title", "Authors", "Corporate Authors", "Book Editors", "Source Title", "Publication Date", "Volume",
     "Conference Title", "Conference Date", "Total Citations", "Average per Year",
@@ -37,10 +34,6 @@ def snake(name: str) -> str:
     return name.strip().lower().replace(" ", "_")
 
 
-def _string_schema(names: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-
-
 def author_from_file(path: Column) -> Column:
     """Author := file name without extension. Files written by Spark sit
     in Hive-style ``author=<value>/`` folders; that value wins when present.
@@ -51,10 +44,19 @@ def author_from_file(path: Column) -> Column:
     return F.url_decode(F.regexp_replace(raw, r"\+", "%2B"))
 
 
-def _reader(spark: SparkSession, glob: str, encoding: str, tolerant: bool):
-    r = (spark.read.option("header", False).option("quote", '"').option("escape", '"')
-         .option("mode", "PERMISSIVE").option("encoding", encoding)
-         .option("recursiveFileLookup", True))
+def _existing(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The paths that are there: a folder that does not exist holds no files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in [path] if isinstance(path, str) else path:
+        q = jvm.org.apache.hadoop.fs.Path(p)
+        if q.getFileSystem(conf).exists(q):
+            out.append(p)
+    return out
+
+
+def _reader(spark: SparkSession, glob: str, tolerant: bool, recursive: bool):
+    r = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if tolerant:
@@ -62,97 +64,143 @@ def _reader(spark: SparkSession, glob: str, encoding: str, tolerant: bool):
     return r
 
 
-def scan_raw_export(spark: SparkSession, path: str | list[str], columns: Sequence[str] = tuple(RAW_COLUMNS),
-                    glob: str = "*.txt", encoding: str = "UTF-8", tolerant: bool = True) -> DataFrame:
-    """S1 (+ S5 encoding, S8 tolerance, S9 extension filter, P13 author).
+def _fields(spark: SparkSession, path: str | Sequence[str], glob: str, encoding: str, tolerant: bool, recursive: bool,
+            multi_line: bool) -> DataFrame:
+    """Every CSV record of the files: file, v (its fields as read), n (fields up to the last one that is set).
 
-    Spark CSV cannot skip lines, so every line is read against an explicit
-    all-string schema and data rows are those whose ``Total Citations`` is a
-    number: that drops the preamble, the blank line and the header. Returns
-    snake_case columns plus ``author`` and ``file``.
+    The reader needs a width; it is one more than the most commas in any line (a first, narrow pass), so no field of a
+    record that fits its header is lost.
+    """
+    empty = spark.createDataFrame([], "file string, v array<string>, n int")
+    paths = _existing(spark, path)
+    if not paths:
+        return empty
+    commas = F.length("value") - F.length(F.translate("value", ",", ""))
+    try:
+        most = _reader(spark, glob, tolerant, recursive).text(paths).agg(F.max(commas)).first()[0]
+    except AnalysisException:  # no file matches
+        return empty
+    if most is None:
+        return empty
+    names = [f"_c{i}" for i in range(most + 2)]
+    wide = (_reader(spark, glob, tolerant, recursive).option("header", False).option("quote", '"').option("escape", '"')
+            .option("mode", "PERMISSIVE").option("encoding", encoding).option("multiLine", multi_line)
+            .option("maxColumns", len(names) + 1).option("maxCharsPerColumn", -1)
+            .schema(", ".join(f"{n} string" for n in names)).csv(paths))
+    v = F.array(F.regexp_replace(names[0], "^\ufeff", ""), *[F.col(n) for n in names[1:]])
+    n = F.coalesce(F.array_max(F.transform("v", lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
+    return wide.select(F.col("_metadata.file_path").alias("file"), v.alias("v")).withColumn("n", n)
+
+
+def _kinds(fields: DataFrame, header_fields: Sequence[str]) -> DataFrame:
+    """Add what a record is: blank, header, preamble (raw exports) or row; and its file's header, if it has one."""
+    blank = F.size(F.filter("v", lambda x: F.coalesce(F.trim(x), F.lit("")) != "")) == 0
+    header = F.lit(True)
+    for i, h in enumerate(header_fields):
+        header = header & F.col("v")[i].eqNullSafe(F.lit(h))
+    said = F.array_join(F.slice("v", 1, F.greatest("n", F.lit(1))), ",")
+    preamble = (F.col("n") <= 8) & (said.endswith(" (Author)") | F.col("v")[0].startswith("Timespan:"))
+    kind = F.when(blank, "blank").when(header, "header").when(preamble, "preamble").otherwise("row")
+    marked = fields.withColumn("kind", kind)
+    headers = (marked.where("kind = 'header'").groupBy("file")
+               .agg(F.max_by(F.slice("v", 1, F.col("n")), "n").alias("h")))
+    return marked.join(headers, "file", "left")
+
+
+def scan_export(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt", encoding: str = "UTF-8", tolerant: bool = True,
+                recursive: bool = False, multi_line: bool = True, header_fields: Sequence[str] = ("Title", "Authors")) -> DataFrame:
+    """All rows of headered export files, one per work: author (file name), file, rec (column name -> field).
+
+    Fields are matched by their file's header; a short row has nulls at its end. ``multi_line`` allows line breaks
+    inside quotes (a file is then read by one task). A folder that is missing or holds no file gives an empty table.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    df = _reader(spark, glob, encoding, tolerant).schema(_string_schema(columns)).csv(paths)
-    df = df.where(F.col("`Total Citations`").try_cast("double").isNotNull())
-    named = [c for c in columns if not c.isdigit()]
-    years = [c for c in columns if c.isdigit()]
-    return df.select(
-        author_from_file(F.col("_metadata.file_path")).alias("author"),
-        F.col("_metadata.file_path").alias("file"),
-        *[F.col(f"`{c}`").alias(snake(c)) for c in named],
-        *[F.col(f"`{y}`") for y in years])
-
-
-def raw_rejected_rows(spark: SparkSession, path: str | list[str], columns: Sequence[str] = tuple(RAW_COLUMNS),
-                      glob: str = "*.txt", encoding: str = "UTF-8") -> DataFrame:
-    """S8's rejected-rows table: lines of the export files that are neither
-    preamble (``… (Author)``, ``Timespan: …``), header, blank, nor a data row
-    with a numeric ``Total Citations``. (file, line fields as read)."""
-    paths = [path] if isinstance(path, str) else list(path)
-    df = _reader(spark, glob, encoding, True).schema(_string_schema(columns)).csv(paths)
-    first = F.regexp_replace(F.coalesce(F.col("`Title`"), F.lit("")), "^\ufeff", "")
-    preamble = first.endswith(" (Author)") | first.startswith("Timespan:")
-    header = first == F.lit(columns[0])
-    blank = F.array_compact(F.array(*[F.col(f"`{c}`") for c in columns[:3]])) == F.array().cast("array<string>")
-    data = F.col("`Total Citations`").try_cast("double").isNotNull()
-    return (df.where(~(preamble | header | blank | data))
-            .select(F.col("_metadata.file_path").alias("file"), author_from_file(F.col("_metadata.file_path")).alias("author"),
-                    F.col("`Title`").alias("first_field")))
-
-
-def raw_year_cells(raw: DataFrame, keep: Sequence[str] = ("author", "title", "file")) -> DataFrame:
-    """Year columns of a raw scan -> long (…, year, cites), numbers parsed."""
-    years = [c for c in raw.columns if c.isdigit()]
-    long = raw.unpivot(list(keep), [F.col(f"`{y}`") for y in years], "year", "cell")
-    return long.select(*keep, F.col("year").cast("int").alias("year"),
-                       F.col("cell").try_cast("double").alias("cites"))
+    rows = _kinds(_fields(spark, path, glob, encoding, tolerant, recursive, multi_line), header_fields)
+    rows = rows.where((F.col("kind") == "row") & F.col("h").isNotNull() & (F.col("n") <= F.size("h")))
+    return rows.select(author_from_file(F.col("file")).alias("author"), "file",
+                       F.map_from_arrays("h", F.slice("v", 1, F.size("h"))).alias("rec"))
+
+
+def rejected_rows(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt", encoding: str = "UTF-8",
+                  recursive: bool = False, header_fields: Sequence[str] = ("Title", "Authors")) -> DataFrame:
+    """S8's rejected rows: records longer than their file's header, and all records of files without one."""
+    rows = _kinds(_fields(spark, path, glob, encoding, True, recursive, True), header_fields)
+    bad = (F.col("kind") == "row") & (F.col("h").isNull() | (F.col("n") > F.size("h")))
+    return rows.where(bad).select("file", author_from_file(F.col("file")).alias("author"), F.col("v")[0].alias("first_field"))
+
+
+def _works(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    cells = F.map_filter("rec", lambda k, v: k.rlike("^[0-9]+$"))
+    return records.select("author", "file", *[F.col("rec")[c].alias(snake(c)) for c in columns], cells.alias("cells"))
+
+
+def scan_raw_export(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt", encoding: str = "UTF-8",
+                    tolerant: bool = True, recursive: bool = False, multi_line: bool = True) -> DataFrame:
+    """S1 (+ S5 encoding, S8 tolerance, S9 extension filter, P13 author): one row a publication, whatever its fields hold.
+
+    Returns author, file, the named columns in snake_case, and ``cells`` (year -> field) for all years of the header.
+    """
+    return _works(scan_export(spark, path, glob, encoding, tolerant, recursive, multi_line), RAW_NAMED_COLUMNS)
+
+
+def scan_curated(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt", encoding: str = "UTF-8",
+                 tolerant: bool = True, recursive: bool = False, multi_line: bool = True) -> DataFrame:
+    """A folder of headered CSVs whose headers differ. One row a work, like ``scan_raw_export``."""
+    return _works(scan_export(spark, path, glob, encoding, tolerant, recursive, multi_line), CURATED_FIXED_COLUMNS)
+
+
+def citations(works: DataFrame, keep: Sequence[str] = ("author", "title")) -> DataFrame:
+    """Year cells of works as long rows: the kept columns, year, cites (null where a field is no number)."""
+    long = works.select(*keep, F.explode("cells").alias("year", "cell"))
+    return long.select(*keep, F.col("year").cast("int").alias("year"), F.col("cell").cast("string").try_cast("double").alias("cites"))
 
 
 def curate_raw(raw: DataFrame) -> DataFrame:
-    """Raw -> curated rows, long form.
-
-    ``Corporate Authors`` := number of names in the raw Authors list; the ten
-    non-curated columns are dropped; year cells that are zero are dropped (a
-    missing cell reads as 0 again when pivoted back, which is exactly the
-    per-file pruning of all-zero years)."""
-    fixed = [snake(c) for c in CURATED_FIXED_COLUMNS if snake(c) not in ("authors", "corporate_authors")]
-    base = raw.select("author", "file", *fixed, S.count_names("authors").alias("n_authors"),
-                      *[F.col(f"`{c}`") for c in raw.columns if c.isdigit()])
-    cells = raw_year_cells(base, keep=["author", "file", "title", "n_authors", *[c for c in fixed if c != "title"]])
-    return cells.where(F.coalesce(F.col("cites"), F.lit(0.0)) != 0)
-
-
-def scan_curated(spark: SparkSession, path: str, max_columns: int = 256, glob: str = "*.txt",
-                 encoding: str = "UTF-8", header_first: str = "Title") -> DataFrame:
-    """A folder of headered CSVs whose headers differ.
-
-    All files are read wide (``_c0.._cN`` strings). Header rows (first field
-    = ``Title``) give each file's names; data rows are joined to their file's
-    header and zipped into a map, so named fields and year cells come out by
-    name, not by position. Returns long rows: fixed columns + (year, cites).
+    """Raw works -> curated works, row for row.
+
+    ``corporate_authors`` is the number of names in the raw Authors list; the columns that curation drops are gone;
+    ``cells`` keeps the cells that are numbers other than zero (year -> double).
     """
-    wide = _reader(spark, glob, encoding, True).schema(
-        _string_schema([f"_c{i}" for i in range(max_columns)])).csv(path)
-    vals = F.array(*[F.col(f"_c{i}") for i in range(max_columns)])
-    lines = wide.select(F.col("_metadata.file_path").alias("file"), vals.alias("v"))
-    is_header = F.col("v")[0] == F.lit(header_first)
-    headers = lines.where(is_header).select("file", F.filter("v", lambda x: x.isNotNull()).alias("h"))
-    data = lines.where(~is_header)
-    j = data.join(headers, "file")
-    m = F.map_from_arrays(F.col("h"), F.slice(F.col("v"), 1, F.size(F.col("h"))))
-    rec = j.select("file", m.alias("m"))
-    fixed = [F.col("m")[c].alias(snake(c)) for c in CURATED_FIXED_COLUMNS]
-    cells = F.map_filter(F.col("m"), lambda k, v: k.rlike(r"^[0-9]+$"))
-    out = rec.select(author_from_file(F.col("file")).alias("author"), "file", *fixed,
-                     F.explode_outer(cells).alias("year", "cell"))
-    return out.select("author", "file", *[snake(c) for c in CURATED_FIXED_COLUMNS],
-                      F.col("year").cast("int").alias("year"), F.col("cell").try_cast("double").alias("cites"))
+    fixed = [snake(c) for c in CURATED_FIXED_COLUMNS]
+    number = F.transform_values("cells", lambda k, v: v.try_cast("double"))
+    return raw.select("author", "file", *[F.col(c) for c in fixed if c != "corporate_authors"],
+                      S.count_names("authors").alias("corporate_authors"),
+                      F.map_filter(number, lambda k, v: F.coalesce(v, F.lit(0.0)) != 0).alias("cells")).select(
+                          "author", "file", *fixed, "cells")
+
+
+# -- publications and patents tables (S3, S4) -------------------------------------------
+
+
+def _headered(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    return (spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("quote", '"')
+            .option("escape", '"').csv(path))
+
+
+def scan_publications_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """S3: the publications table -> works: author (trimmed ``Authors``), all other named columns in snake_case as text,
+    and ``cells`` (year -> field) for the year columns that its header has."""
+    df = _headered(spark, path, encoding)
+    years = [c for c in df.columns if c.strip().isdigit()]
+    named = [c for c in df.columns if c not in years]
+    cells = F.create_map(*[x for y in years for x in (F.lit(y.strip()), F.col(f"`{y}`"))]) if years else F.create_map().cast("map<string,string>")
+    author = [S.trim_name(F.col("`Authors`")).alias("author")] if "Authors" in named else []
+    return df.select(*author, *[F.col(f"`{c}`").alias(snake(c)) for c in named if snake(c) != "author" or not author], cells.alias("cells"))
+
+
+def scan_patents_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """The patents table: inventor (normalised), patent (text), filing_date (strict ``dd/MM/yyyy``)."""
+    df = _headered(spark, path, encoding)
+    return df.select(S.normalize_name(S.trim_name("`Inventor`")).alias("inventor"), F.col("`Patent`").alias("patent"),
+                     S.strict_dmy_date("`Filing Date`").alias("filing_date"))
 
 
 # -- audit (S6, S7) ------------------------------------------------------------------
 
 
-CSV_FIELD_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'   # commas outside double quotes
+def count_fields(line: Column) -> Column:
+    """Fields of a CSV line: commas outside double quotes, and one. Linear in the line."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
 
 
 def audit_lines(lines: DataFrame, file_col: str = "file", fields_col: str = "fields",
@@ -172,32 +220,28 @@ def audit_lines(lines: DataFrame, file_col: str = "file", fields_col: str = "fie
     return per.select(F.col(file_col).alias("file"), bad.alias("bad"))
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """(file, length) of every file under ``path`` whose name matches ``glob``,
-    empty ones included (file scans skip zero-length files). Metadata only,
-    through the Hadoop FileSystem API, as Spark's own file index lists."""
-    import fnmatch
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    it = root.getFileSystem(conf).listFiles(root, True)
-    out = []
-    while it.hasNext():
-        st = it.next()
-        name = st.getPath().getName()
-        if fnmatch.fnmatchcase(name, glob) and not name.startswith((".", "_")):
-            out.append((st.getPath().toUri().toString(), int(st.getLen())))   # URL-encoded, like _metadata
-    return spark.createDataFrame(out, "file string, length long")
-
-
-def file_audit(spark: SparkSession, path: str, glob: str = "*.txt", header_first: str = "Title") -> DataFrame:
-    """S6 on a folder: (file, bad). Empty files are bad (nothing to parse)."""
-    files = list_files(spark, path, glob)
-    txt = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
-           .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-           .where(F.trim(F.regexp_replace("line", "\ufeff", "")) != ""))
-    lines = txt.select("file", F.size(F.split("line", CSV_FIELD_SPLIT)).alias("fields"),
-                       F.regexp_replace("line", '^\ufeff?"?', "").startswith(header_first).alias("is_header"))
+def list_files(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = False) -> DataFrame:
+    """(file) of every file whose name matches ``glob``, empty ones included: Spark's own listing, in one call."""
+    if not _existing(spark, path):
+        return spark.createDataFrame([], "file string")
+    try:
+        found = _reader(spark, glob, True, recursive).text(path).inputFiles()
+    except AnalysisException:
+        found = []
+    return spark.createDataFrame([(f,) for f in found], "file string")
+
+
+def file_audit(spark: SparkSession, path: str, glob: str = "*.txt", header_first: str = "Title", recursive: bool = False) -> DataFrame:
+    """S6 on a folder: (file, bad). Empty files and files without a header (a line whose first field is exactly
+    ``header_first``) are bad, as are files with a line of more fields than their header."""
+    files = list_files(spark, path, glob, recursive)
+    if files.isEmpty():
+        return files.withColumn("bad", F.lit(True))
+    txt = (_reader(spark, glob, True, recursive).text(path)
+           .select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
+           .where(F.trim("line") != ""))
+    first = F.col("line").rlike(f'^("{header_first}"|{header_first})(,|$)')
+    lines = txt.select("file", count_fields(F.col("line")).alias("fields"), first.alias("is_header"))
     per = audit_lines(lines, "file", "fields", header_col="is_header")
     # both sides are URL-encoded paths; they may differ in the scheme prefix
     key = F.regexp_replace(F.col("file"), "^file:/*", "/")
@@ -245,25 +289,23 @@ def _write_files(lines: DataFrame, path: str, line_sep: str = "\n") -> None:
 
 
 def write_raw_exports(works: DataFrame, path: str, files_per_author: int | None = None,
-                      max_rows_per_file: int = 100_000, timespan: str = "1900-2024") -> None:
+                      max_rows_per_file: int = 100_000, timespan: str = "all years") -> None:
     """Write F-RAW files: one folder per author holding one or more files
     (``files_per_author``, or enough to keep each under ``max_rows_per_file``
     rows, so a huge author is split over several writers), each with its own
     preamble and header. BOM + CRLF as in the shipped exports. ``works`` needs
-    ``author`` and the RAW_COLUMNS in snake_case (missing ones are written
-    empty; years by their digits)."""
-    cols = set(works.columns)
-
-    def field(c):
-        k = c if c.isdigit() else snake(c)
-        return F.col(f"`{k}`") if k in cols else F.lit(None).cast("string")
-    row_line = F.concat_ws(",", *[_q(field(c)) for c in RAW_COLUMNS])
+    ``author`` and named columns in snake_case (missing ones are written
+    empty); the year columns are the years that its ``cells`` have."""
+    have = set(works.columns)
+    years = sorted((r[0] for r in works.select(F.explode(F.map_keys("cells"))).distinct().collect()), key=int) if "cells" in have else []
+    named = [F.col(snake(c)) if snake(c) in have else F.lit(None).cast("string") for c in RAW_NAMED_COLUMNS]
+    row_line = F.concat_ws(",", *[_q(c) for c in named], *[_q(F.col("cells")[y]) for y in years])
     base = works.select(F.col("author").cast("string").alias("author"), F.col("title").cast("string").alias("title"),
                         row_line.alias("value"))
     rows = _file_numbers(base, files_per_author, max_rows_per_file) \
         .select("author", "file_no", F.lit(4).alias("_o"), F.col("title").alias("_t"), "value")
     keys = rows.select("author", "file_no").distinct()
-    header = ",".join(f'"{c}"' for c in RAW_COLUMNS)
+    header = ",".join(f'"{c}"' for c in [*RAW_NAMED_COLUMNS, *years])
     pre = keys.select("author", "file_no", F.explode(F.array(
         F.struct(F.lit(0).alias("_o"), F.concat(F.lit("\ufeff"), F.col("author"), F.lit(" (Author)")).alias("value")),
         F.struct(F.lit(1).alias("_o"), F.lit(f"Timespan: {timespan}.").alias("value")),
@@ -274,37 +316,25 @@ def write_raw_exports(works: DataFrame, path: str, files_per_author: int | None
     _write_files(rows.unionByName(pre), path, "\r\n")
 
 
-def write_curated(cells: DataFrame, path: str, files_per_author: int | None = None,
-                  max_rows_per_file: int = 100_000) -> None:
-    """Write F-CUR files from long curated rows (fixed columns + year, cites):
-    one folder per author; the header lists the fixed columns and the years
-    that author has non-zero cells in, so headers differ between authors (and
-    agree between the files of one author)."""
-    fixed = [snake(c) for c in CURATED_FIXED_COLUMNS]
-    have = set(cells.columns)
-
-    def fcol(c):
-        return F.col(c) if c in have else F.lit(None).cast("string")
-    rows = (cells.groupBy("author", "title", *[c for c in fixed if c in have and c not in ("authors", "title")])
-            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("year").cast("string"),
-                                                              F.col("cites")))).alias("cells")))
-    years = (cells.groupBy("author")
-             .agg(F.array_sort(F.collect_set(F.when(F.col("cites") != 0, F.col("year").cast("string"))))
-                  .alias("years")))
-    j = rows.join(years, "author", "left").withColumn("years", F.coalesce("years", F.array().cast("array<string>")))
-    vals = [fcol(c) if c != "authors" else F.col("author") for c in fixed]
+def write_curated(works: DataFrame, path: str, files_per_author: int | None = None, max_rows_per_file: int = 100_000) -> None:
+    """Write F-CUR files from curated works (fixed columns in snake_case, and ``cells``: year -> number): one folder per
+    author; the header lists the fixed columns and the years that author has non-zero cells in."""
+    have = set(works.columns)
+    fixed = [F.col("author") if c == "Authors" else F.col(snake(c)) if snake(c) in have else F.lit(None).cast("string")
+             for c in CURATED_FIXED_COLUMNS]
+    years = (works.select("author", F.explode("cells").alias("y", "n")).where("n <> 0").groupBy("author")
+             .agg(F.array_sort(F.collect_set("y")).alias("years")))
+    j = works.join(years, "author", "left").withColumn("years", F.coalesce("years", F.array().cast("array<string>")))
 
     def csvq(c):
         s = F.coalesce(c.cast("string"), F.lit(""))
-        return F.when(s.rlike('[",\r\n]'), F.concat(F.lit('"'), F.regexp_replace(s, '"', '""'), F.lit('"'))).otherwise(s)
-    cells_txt = F.transform("years", lambda y: F.coalesce(F.col("cells")[y].cast("long").cast("string"), F.lit("0")))
-    line = F.concat_ws(",", *[csvq(v) for v in vals], F.array_join(cells_txt, ","))
-    line = F.when(F.size("years") > 0, line).otherwise(F.concat_ws(",", *[csvq(v) for v in vals]))
+        return F.when(s.rlike('[",\r\n]'), _q(s)).otherwise(s)
+    cells = F.transform("years", lambda y: F.coalesce(F.col("cells")[y].cast("long").cast("string"), F.lit("0")))
+    line = F.array_join(F.concat(F.array(*[csvq(c) for c in fixed]), cells), ",")
     data = _file_numbers(j.select(F.col("author").cast("string").alias("author"), F.col("title").cast("string")
                                   .alias("title"), line.alias("value"), "years"), files_per_author, max_rows_per_file)
+    names = F.concat(F.array(*[F.lit(c) for c in CURATED_FIXED_COLUMNS]), F.col("years"))
     hdr = (data.select("author", "file_no", "years").dropDuplicates(["author", "file_no"])
-           .select("author", "file_no", F.lit(0).alias("_o"), F.lit(None).cast("string").alias("_t"),
-                   F.regexp_replace(F.concat_ws(",", F.lit(",".join(CURATED_FIXED_COLUMNS)),
-                                                F.array_join("years", ",")), ",$", "").alias("value")))
+           .select("author", "file_no", F.lit(0).alias("_o"), F.lit(None).cast("string").alias("_t"), F.array_join(names, ",").alias("value")))
     body = data.select("author", "file_no", F.lit(1).alias("_o"), F.col("title").alias("_t"), "value")
     _write_files(body.unionByName(hdr), path)

@@ -28,39 +28,77 @@ def raw_line(vals):
     return ",".join('"' + v + '"' for v in vals)
 
 
-def test_scan_raw_export_bom_crlf(spark, tmp_dir):
-    cols = X.RAW_COLUMNS
-    row = {c: "" for c in cols}
-    row.update({"Title": "A title, with comma", "Authors": "X, A; Y, B", "Total Citations": "5",
-                "Average per Year": "1.5", "Publication Date": "JAN 2022"})
-    row.update({y: "0" for y in X.RAW_YEARS})
-    row["2023"] = "5"
-    text = "﻿Some Author (Author)\r\nTimespan: 1900-2024.\r\n\r\n" + raw_line(cols) + "\r\n" + \
-        raw_line([row[c] for c in cols]) + "\r\n"
-    write(tmp_dir, "PEREZ LOPEZ JUAN.txt", text)
-    write(tmp_dir, "NO EXT COPY.csv", text)
+def raw_text(cols, rows, name="Some Author"):
+    lines = [raw_line(cols), *[raw_line([r.get(c, "") for c in cols]) for r in rows]]
+    return f"\ufeff{name} (Author)\r\nTimespan: 1900-2024. Indexes: A, B.\r\n\r\n" + "\r\n".join(lines) + "\r\n"
+
+
+def test_audit_headers_and_long_lines(spark, tmp_dir):
+    write(tmp_dir, "title row.txt", HEADER + "\nTitle insurance,A,1,,S,2020,1,,,3,1.0,3,9,9,9\n")
+    write(tmp_dir, "wide.txt", HEADER + '\n"' + "x, " * 350_000 + '",A,1,,S,2020,1,,,3,1.0,3\n')
+    write(tmp_dir, "no header.txt", "A,B\n1,2\n")
+    got = {os.path.basename(r.file): r.bad for r in X.file_audit(spark, tmp_dir).collect()}
+    assert got == {"title%20row.txt": True, "wide.txt": False, "no%20header.txt": True}
+    assert X.file_audit(spark, tmp_dir + "/missing").count() == 0 and X.file_audit(spark, tmp_dir, glob="*.none").count() == 0
+
+
+def test_raw_rows_are_all_kept(spark, tmp_dir):
+    """Blank citation fields, quoted line breaks, a later year, 300 years, short rows."""
+    years = [str(y) for y in range(1800, 2100)]
+    cols = X.RAW_NAMED_COLUMNS + years
+    rows = [{"Title": "A title, with comma", "Authors": "X, A; Y, B", "Total Citations": "5", "2023": "5", "2025": "2", "1801": "1"},
+            {"Title": "no citations field", "Authors": "X"}, {"Title": "two\nlines", "Authors": "Z", "Total Citations": "0", "2023": "0"}]
+    write(tmp_dir, "PEREZ LOPEZ JUAN.txt", raw_text(cols, rows) + '"short","A"\r\n')
+    write(tmp_dir, "NO EXT COPY.csv", raw_text(cols, rows))
+    os.makedirs(tmp_dir + "/nested")
+    write(tmp_dir + "/nested", "deep.txt", raw_text(cols, rows))
     raw = X.scan_raw_export(spark, tmp_dir)
-    assert X.raw_rejected_rows(spark, tmp_dir).count() == 0
-    rows = raw.collect()
-    assert len(rows) == 1 and rows[0].author == "PEREZ LOPEZ JUAN" and rows[0].title == "A title, with comma"
-    cur = X.curate_raw(raw).collect()
-    assert [(r.year, r.cites, r.n_authors) for r in cur] == [(2023, 5.0, 2)]
+    got = {r.title: r for r in raw.collect()}
+    assert set(got) == {"A title, with comma", "no citations field", "two\nlines", "short"}
+    assert {r.author for r in got.values()} == {"PEREZ LOPEZ JUAN"} and len(got["two\nlines"].cells) == 300
+    assert got["A title, with comma"].cells["2025"] == "2" and X.rejected_rows(spark, tmp_dir).count() == 0
+    cur = {r.title: r for r in X.curate_raw(raw).collect()}
+    assert set(cur) == set(got) and cur["A title, with comma"].cells == {"2023": 5.0, "2025": 2.0, "1801": 1.0}
+    assert cur["no citations field"].cells == {} and cur["A title, with comma"].corporate_authors == 2
+    long = sorted((r.title, r.year, r.cites) for r in X.citations(X.curate_raw(raw)).collect())
+    assert long == [("A title, with comma", 1801, 1.0), ("A title, with comma", 2023, 5.0), ("A title, with comma", 2025, 2.0)]
+    assert X.scan_raw_export(spark, tmp_dir, recursive=True).count() == 7
+
+
+def test_missing_and_empty_folders(spark, tmp_dir):
+    assert X.scan_raw_export(spark, tmp_dir + "/missing").count() == 0
+    assert X.scan_raw_export(spark, tmp_dir).count() == 0 and X.scan_curated(spark, tmp_dir).count() == 0
 
 
 def test_scan_curated_different_headers(spark, tmp_dir):
     write(tmp_dir, "A.txt", ",".join(X.CURATED_FIXED_COLUMNS) + ",2019,2021\nT1,A,2,,S,2020,1,,,7,1.0,3,4\n")
     write(tmp_dir, "B.txt", ",".join(X.CURATED_FIXED_COLUMNS) + ",2005\nT2,B,1,,S,2005,1,,,1,1.0,1\n")
-    got = sorted((r.author, r.title, r.year, r.cites) for r in X.scan_curated(spark, tmp_dir).collect())
+    years = ",".join(str(y) for y in range(1700, 2000))
+    write(tmp_dir, "C.txt", ",".join(X.CURATED_FIXED_COLUMNS) + "," + years + "\nT3,C,1,,S,2005,1,,,1,1.0," + ",".join(["2"] * 300) + "\n")
+    cells = X.citations(X.scan_curated(spark, tmp_dir)).collect()
+    got = sorted((r.author, r.title, r.year, r.cites) for r in cells if r.author != "C")
     assert got == [("A", "T1", 2019, 3.0), ("A", "T1", 2021, 4.0), ("B", "T2", 2005, 1.0)]
+    assert sum(r.author == "C" for r in cells) == 300
 
 
 def test_tolerant_scan_skips_junk(spark, tmp_dir):
     write(tmp_dir, "junk.txt", "no header here\n\x00\x01 binary-ish\n")
-    assert X.scan_raw_export(spark, tmp_dir).count() == 0
-    rejected = X.raw_rejected_rows(spark, tmp_dir).collect()
+    with open(os.path.join(tmp_dir, "broken.txt.gz"), "wb") as f:
+        f.write(b"\x1f\x8b\x08\x00 not a gzip body")
+    assert X.scan_raw_export(spark, tmp_dir, glob="*.txt*").count() == 0
+    rejected = X.rejected_rows(spark, tmp_dir).collect()
     assert len(rejected) == 2 and {r.author for r in rejected} == {"junk"}
 
 
+def test_publications_and_patents_tables(spark, tmp_dir):
+    write(tmp_dir, "pubs.csv", 'Title,Authors,Publication Date,Total Citations,2019,2031\n"two\nlines", Ñu ,01/02/2019,,1,7\n')
+    write(tmp_dir, "pats.csv", "Inventor,Patent,Filing Date\n Núñez ,P1,15/03/2010\n", "latin-1")
+    pub = X.scan_publications_csv(spark, tmp_dir + "/pubs.csv").collect()[0]
+    assert (pub.author, pub.title, pub.total_citations, pub.cells) == ("Ñu", "two\nlines", None, {"2019": "1", "2031": "7"})
+    pat = X.scan_patents_csv(spark, tmp_dir + "/pats.csv").collect()[0]
+    assert (pat.inventor, pat.patent, str(pat.filing_date)) == ("NUNEZ", "P1", "2010-03-15")
+
+
 def test_writers_split_large_authors(spark, tmp_dir):
     rows = [("BIG", f"T{i}", float(i % 3)) for i in range(9)] + [("small", "S1", 1.0)]
     works = spark.createDataFrame(rows, "author string, title string, total_citations double")
@@ -68,11 +106,11 @@ def test_writers_split_large_authors(spark, tmp_dir):
     X.write_raw_exports(works, raw_dir, max_rows_per_file=4)
     files = [os.path.join(r, f) for r, _, fs in os.walk(raw_dir) for f in fs if f.endswith(".txt")]
     assert len([f for f in files if "author=BIG" in f]) == 3
-    back = X.scan_raw_export(spark, raw_dir)
+    back = X.scan_raw_export(spark, raw_dir, recursive=True)
     assert sorted((r.author, r.title) for r in back.collect()) == sorted((a, t) for a, t, _ in rows)
-    cur = spark.createDataFrame([(a, t, 2020, c) for a, t, c in rows], "author string, title string, year int, cites double")
+    cur = spark.createDataFrame([(a, t, {"2020": c}) for a, t, c in rows], "author string, title string, cells map<string,double>")
     cur_dir = os.path.join(tmp_dir, "cur")
     X.write_curated(cur, cur_dir, max_rows_per_file=4)
-    got = sorted((r.author, r.title, r.cites) for r in X.scan_curated(spark, cur_dir).collect())
+    got = sorted((r.author, r.title, float(r.cells["2020"])) for r in X.scan_curated(spark, cur_dir, recursive=True).collect())
     assert got == sorted(rows)
-    assert all(not r.bad for r in X.file_audit(spark, cur_dir).collect())
+    assert all(not r.bad for r in X.file_audit(spark, cur_dir, recursive=True).collect())
