@@ -46,6 +46,12 @@ def active_year_columns(wide: DataFrame, years: Sequence[str]) -> list[str]:
     return [y for y in years if flags[y]]
 
 
+def active_years(cells: DataFrame, year_col: str = "year", cites_col: str = "cites") -> list[int]:
+    """P2 on long cells: the years with any non-zero cell, before anything is pivoted."""
+    rows = cells.where(F.coalesce(F.col(cites_col), F.lit(0)) != 0).select(F.col(year_col).alias("y")).distinct().where("y is not null")
+    return sorted(r.y for r in rows.collect())
+
+
 def prune_empty_years(wide: DataFrame, keep: Sequence[str], years: Sequence[str] | None = None) -> DataFrame:
     """P2 + P3: fixed columns ++ the year columns that are not empty."""
     years = list(years) if years is not None else year_columns(wide.columns)
@@ -156,15 +162,10 @@ def author_stats(cells: DataFrame, work_col: str = "work_id", author_col: str =
 
 def inner_join_stats(cells: DataFrame, work_col: str = "work_id", author_col: str = "author",
                      title_col: str = "title", cites_col: str = "cites") -> DataFrame:
-    """J1 (join form kept for parity): pubs per author ⋈ cites per author.
-    Both sides come out hash-partitioned on the author, so the join adds no
-    exchange of its own."""
-    rows = (cells.groupBy(author_col, work_col)
-            .agg(F.first(title_col, ignorenulls=True).alias(title_col),
-                 F.sum(F.coalesce(F.col(cites_col), F.lit(0))).alias("row_sum")))
-    pubs = rows.groupBy(author_col).agg(F.count(title_col).alias("publications"))
-    cites = rows.groupBy(author_col).agg(F.sum("row_sum").alias("sum_cited"))
-    return pubs.join(cites, author_col, "inner").where(F.col(author_col).isNotNull())
+    """Publications and citations of each author that has both. The two
+    counts come from one table, so one aggregation gives the joined rows; rows
+    without an author join nothing."""
+    return author_stats(cells, work_col, author_col, title_col, cites_col).where(F.col(author_col).isNotNull())
 
 
 def per_year(df: DataFrame, year_col: str = "year", cites_col: str = "cites",

@@ -16,7 +16,6 @@ from citeflow.functions import scalars as S
 # Fixed values of the bindings (kept identical in the oracle SQL).
 CITES_DIVISOR = 25000.0        # orders: cites = floor(o_totalprice / 25000)
 AVG_BASE_YEAR = 2025           # avg_per_year = cites / (2025 - year)
-MATRIX_YEARS = list(range(1990, 2006))   # year-matrix grid (1990..2005)
 TARGET_YEAR = 2001             # P14 target cell
 N_LABELS = 7                   # given community labels: md5 bucket mod 7
 
@@ -84,16 +83,28 @@ def citation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("title", F.col("work_id").cast("string")))
 
 
+def ship_years(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The year grid: all years that lineitem has (one small aggregate)."""
+    rows = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y")).distinct().where("y is not null")
+    return sorted(r.y for r in rows.collect())
+
+
 def year_matrix(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
-    """Wide year matrix over a fixed grid: explicit pivot values, so no job runs
-    to discover them. Absent cells are null."""
-    years = years or MATRIX_YEARS
+    """Wide year matrix, a column for each year of the grid (or of ``years``). Absent cells are null."""
+    years = ship_years(spark, sf_dir) if years is None else list(years)
     li = table(spark, sf_dir, "lineitem")
     return (li.withColumn("_y", F.year("l_shipdate"))
             .groupBy(F.col("l_orderkey").alias("work_id"), F.col("l_suppkey").alias("author"))
             .pivot("_y", years).agg(F.sum("l_quantity")))
 
 
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly cells of each order as a map: work_id, cells (year -> quantity)."""
+    per = (table(spark, sf_dir, "lineitem").where("l_shipdate is not null")
+           .groupBy(F.col("l_orderkey").alias("work_id"), F.year("l_shipdate").cast("string").alias("y")).agg(F.sum("l_quantity").alias("n")))
+    return per.groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("cells"))
+
+
 def patents_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """patents: purchases; inventor names normalised as on the patents page."""
     e = table(spark, sf_dir, "events")

@@ -13,90 +13,90 @@ from pyspark.sql import functions as F
 from citeflow.functions import scalars as S
 from citeflow.operators import works as W
 from citeflow.plans import bindings as B
-from citeflow.plans.catalog import SQL_COAUTHOR, SQL_PATENTS, SQL_WORKS, register, sql
+from citeflow.plans.catalog import SQL_COAUTHOR, SQL_PATENTS, register, sql
 from citeflow.sources import exports as X
 from citeflow.session import scratch_path
 
 
 def raw_works(spark, d):
     """One raw-export row per order: author file 'C'||custkey, co-author list,
-    text date, citations, and yearly cells from lineitem (1990-2005)."""
+    text date, citations (blank for every ninth order), and yearly cells from lineitem."""
     o = B.table(spark, d, "orders")
     rows = B.coauthor_rows(spark, d).select("work_id", "author", "authors")
-    li = B.table(spark, d, "lineitem").withColumn("_y", F.year("l_shipdate"))
-    cells = li.groupBy(F.col("l_orderkey").alias("work_id")).pivot("_y", B.MATRIX_YEARS).agg(F.sum("l_quantity"))
-    cites = F.floor(F.col("o_totalprice") / B.CITES_DIVISOR).cast("long")
+    cells = B.order_cells(spark, d)
+    cites = F.when(F.col("o_orderkey") % 9 != 0, F.floor(F.col("o_totalprice") / B.CITES_DIVISOR).cast("long"))
     base = o.select(F.col("o_orderkey").alias("work_id"),
                     F.concat(F.lit("W"), F.col("o_orderkey").cast("string")).alias("title"),
                     B.date_shape(F.to_date("o_orderdate")).alias("publication_date"),
-                    F.col("o_orderpriority").alias("source_title"), F.col("o_orderstatus").alias("volume"),
+                    F.concat(F.lit("line\nof "), F.col("o_orderpriority")).alias("source_title"), F.col("o_orderstatus").alias("volume"),
                     cites.alias("total_citations"))
     return base.join(rows, "work_id").join(cells, "work_id", "left").drop("work_id")
 
 
-_WRITTEN: dict = {}
+def _written_raw(spark, d, files_per_author=None):
+    path = scratch_path(spark, "raw-exports")
+    X.write_raw_exports(raw_works(spark, d), path, files_per_author=files_per_author)
+    return path
 
 
-def _written_raw(spark, d, files_per_author=None):
-    """Write the raw exports once per (session, tables) and reuse the folder."""
-    key = ("raw", spark.sparkContext.applicationId, d, files_per_author)
-    if key not in _WRITTEN:
-        path = scratch_path(spark, "raw-exports")
-        X.write_raw_exports(raw_works(spark, d), path, files_per_author=files_per_author)
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+def _raw(spark, d, *more, **options):
+    return X.scan_raw_export(spark, [_written_raw(spark, d), *more], recursive=True, **options)
 
 
 def _written_curated(spark, d):
-    key = ("cur", spark.sparkContext.applicationId, d)
-    if key not in _WRITTEN:
-        cur = X.curate_raw(X.scan_raw_export(spark, _written_raw(spark, d)))
-        path = scratch_path(spark, "curated")
-        X.write_curated(cur.withColumnRenamed("n_authors", "corporate_authors"), path)
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+    path = scratch_path(spark, "curated")
+    X.write_curated(X.curate_raw(_raw(spark, d)), path)
+    return path
 
 
 SQL_RAW = """raw AS (
-  SELECT 'C' || CAST(o.o_custkey AS VARCHAR) AS author, 'W' || CAST(o.o_orderkey AS VARCHAR) AS title,
-         c.authors, CAST(floor(o.o_totalprice / 25000.0) AS DOUBLE) AS total_citations,
-         (SELECT sum(l_quantity) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey
-            AND year(l.l_shipdate) BETWEEN 1990 AND 2005) AS year_sum
+  SELECT 'C' || CAST(o.o_custkey AS VARCHAR) AS author, 'W' || CAST(o.o_orderkey AS VARCHAR) AS title, c.authors,
+         'line' || chr(10) || 'of ' || o.o_orderpriority AS source_title,
+         CASE WHEN o.o_orderkey % 9 <> 0 THEN CAST(floor(o.o_totalprice / 25000.0) AS DOUBLE) END AS total_citations,
+         (SELECT sum(l_quantity) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AS year_sum
   FROM orders o JOIN coauthor_rows c ON c.work_id = o.o_orderkey),
 cells AS (
   SELECT 'C' || CAST(o.o_custkey AS VARCHAR) AS author, 'W' || CAST(o.o_orderkey AS VARCHAR) AS title,
-         len(string_split(c.authors, ';')) AS n_authors,
-         year(l.l_shipdate) AS year, sum(l.l_quantity) AS cites
-  FROM orders o JOIN coauthor_rows c ON c.work_id = o.o_orderkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
-  WHERE year(l.l_shipdate) BETWEEN 1990 AND 2005
-  GROUP BY 1, 2, 3, 4)"""
+         len(string_split(c.authors, ';')) AS n_authors, l.year, l.cites
+  FROM orders o JOIN coauthor_rows c ON c.work_id = o.o_orderkey
+  LEFT JOIN (SELECT l_orderkey, year(l_shipdate) AS year, sum(l_quantity) AS cites FROM lineitem GROUP BY 1, 2) l
+         ON l.l_orderkey = o.o_orderkey AND l.cites <> 0)"""
+
+
+def _long(works, *keep):
+    """Works as rows of (kept columns, year, cites); a work without cells has one row of nulls."""
+    long = works.select(*keep, F.explode_outer("cells").alias("year", "cites"))
+    return long.select(*keep, F.col("year").cast("int").alias("year"), F.col("cites").cast("string").try_cast("double").alias("cites"))
 
 
 @register("scan_raw_export", sql(SQL_COAUTHOR, SQL_RAW, body="""
-SELECT author, title, authors, total_citations, coalesce(year_sum, 0) AS year_sum FROM raw"""))
+SELECT author, title, authors, source_title, total_citations, coalesce(year_sum, 0) AS year_sum FROM raw"""))
 def q_scan_raw_export(spark, d):
-    raw = X.scan_raw_export(spark, _written_raw(spark, d))
-    years = [c for c in raw.columns if c.isdigit()]
-    ysum = F.aggregate(F.array(*[F.coalesce(F.col(f"`{y}`").try_cast("double"), F.lit(0.0)) for y in years]),
-                       F.lit(0.0), lambda a, v: a + v)
-    return raw.select("author", "title", "authors", F.col("total_citations").try_cast("double").alias("total_citations"),
-                      ysum.alias("year_sum"))
+    ysum = F.aggregate(F.map_values("cells"), F.lit(0.0), lambda a, v: a + F.coalesce(v.try_cast("double"), F.lit(0.0)))
+    return _raw(spark, d).select("author", "title", "authors", "source_title",
+                                 F.col("total_citations").try_cast("double").alias("total_citations"), ysum.alias("year_sum"))
 
 
 @register("author_from_file", sql(SQL_COAUTHOR, body="SELECT DISTINCT author FROM coauthor_rows"))
 def q_author_from_file(spark, d):
-    return X.scan_raw_export(spark, _written_raw(spark, d)).select("author").distinct()
+    return _raw(spark, d).select("author").distinct()
 
 
-@register("tolerant_ingest", sql(SQL_COAUTHOR, body="SELECT author, count(*) AS n_rows FROM coauthor_rows GROUP BY 1"))
+@register("tolerant_ingest", sql(SQL_COAUTHOR, body="""
+SELECT author, count(*) AS n_rows, 0 AS n_rejected FROM coauthor_rows GROUP BY 1 UNION ALL SELECT 'ZZ-junk', 0, 1"""))
 def q_tolerant_ingest(spark, d):
-    """A folder with an unreadable file and a file of junk lines next to
-    the exports; both are skipped, the exports are read whole."""
+    """An unreadable file (a broken archive) and a file of junk lines next to the exports. The exports are read
+    whole, the archive is skipped, the junk line is listed as rejected."""
     junk = scratch_path(spark, "raw-junk")
-    spark.createDataFrame([("not an export, no header",)], "value string").write.mode("overwrite") \
-        .text(junk + "/author=ZZ-junk")
-    raw = X.scan_raw_export(spark, [_written_raw(spark, d), junk], tolerant=True)
-    return raw.groupBy("author").agg(F.count(F.lit(1)).alias("n_rows"))
+    spark.createDataFrame([("not an export, no header",)], "value string").write.text(junk + "/author=ZZ-junk")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(junk + "/author=ZZ-broken/part-0.txt.gz")
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(b"\x1f\x8b\x08\x00 no archive"))
+    out.close()
+    paths = [_written_raw(spark, d), junk]
+    good = X.scan_raw_export(spark, paths, glob="*.txt*", recursive=True).select("author", F.lit(1).alias("ok"))
+    bad = X.rejected_rows(spark, paths, glob="*.txt*", recursive=True).select("author", F.lit(0).alias("ok"))
+    return good.unionByName(bad).groupBy("author").agg(F.sum("ok").alias("n_rows"), F.sum(1 - F.col("ok")).alias("n_rejected"))
 
 
 @register("ext_filter", sql(SQL_COAUTHOR, body="SELECT count(*) AS n_rows, count(DISTINCT author) AS n_authors FROM coauthor_rows"))
@@ -104,28 +104,31 @@ def q_ext_filter(spark, d):
     """Only ``*.txt`` files are exports; a ``.csv`` copy in the same folder is ignored."""
     copy = scratch_path(spark, "raw-csv-copy")
     raw_works(spark, d).select("author", "title").write.mode("overwrite").csv(copy + "/author=copy-as-csv")
-    raw = X.scan_raw_export(spark, [_written_raw(spark, d), copy], glob="*.txt")
-    return raw.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("author").alias("n_authors"))
+    return _raw(spark, d, copy, glob="*.txt").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("author").alias("n_authors"))
 
 
-@register("curate_raw", sql(SQL_COAUTHOR, SQL_RAW, body="SELECT author, title, n_authors, year, cites FROM cells WHERE cites <> 0"))
+@register("curate_raw", sql(SQL_COAUTHOR, SQL_RAW, body="SELECT author, title, n_authors, year, cites FROM cells"))
 def q_curate_raw(spark, d):
-    cur = X.curate_raw(X.scan_raw_export(spark, _written_raw(spark, d)))
-    return cur.select("author", "title", "n_authors", "year", "cites")
+    cur = X.curate_raw(_raw(spark, d)).withColumnRenamed("corporate_authors", "n_authors")
+    return _long(cur, "author", "title", "n_authors")
 
 
 @register("scan_curated", sql(SQL_COAUTHOR, SQL_RAW, body="""
-SELECT author, title, CAST(n_authors AS VARCHAR) AS corporate_authors, year, cites FROM cells WHERE cites <> 0"""))
+SELECT author, title, CAST(n_authors AS VARCHAR) AS corporate_authors, year, cites FROM cells"""))
 def q_scan_curated(spark, d):
-    back = X.scan_curated(spark, _written_curated(spark, d))
-    return back.where(F.coalesce(F.col("cites"), F.lit(0.0)) != 0) \
-        .select("author", "title", "corporate_authors", "year", "cites")
+    back = X.scan_curated(spark, _written_curated(spark, d), recursive=True)
+    live = F.map_filter("cells", lambda k, v: F.coalesce(v.try_cast("double"), F.lit(0.0)) != 0)
+    return _long(back.withColumn("cells", live), "author", "title", "corporate_authors")
 
 
-@register("file_audit_files", sql(SQL_COAUTHOR, body="SELECT DISTINCT author, false AS bad FROM coauthor_rows"))
+@register("file_audit_files", sql(SQL_COAUTHOR, body="SELECT DISTINCT author, false AS bad FROM coauthor_rows UNION ALL SELECT 'ZZ-bad', true"))
 def q_file_audit_files(spark, d):
-    """S6 on a written curated folder (every file well formed)."""
-    audit = X.file_audit(spark, _written_curated(spark, d))
+    """S6 on a written curated folder (every file well formed) with a bad file beside it: a row whose title begins
+    like the header and that has more fields than the header."""
+    bad = scratch_path(spark, "curated-bad")
+    lines = "Title,Authors,2020\nTitle insurance,A,1,2,3"
+    spark.createDataFrame([(lines,)], "value string").write.text(bad + "/author=ZZ-bad")
+    audit = X.file_audit(spark, [_written_curated(spark, d), bad], recursive=True)
     return audit.select(X.author_from_file(F.col("file")).alias("author"), "bad")
 
 
@@ -144,25 +147,44 @@ def q_file_outcome_counts(spark, d):
     return X.file_outcome_counts(X.audit_lines(B.audit_lines(spark, d), "file", "fields", header_width=30))
 
 
-@register("scan_works_csv", sql(SQL_WORKS, body="SELECT author, work_id, title, pub_date, cites, avg_per_year FROM works"))
-def q_scan_works_csv(spark, d):
-    path = scratch_path(spark, "works-csv")
-    B.works_orders(spark, d).write.mode("overwrite").option("header", True).csv(path)
-    schema = "author long, work_id long, title string, pub_date date, cites long, avg_per_year double"
-    return spark.read.option("header", True).schema(schema).csv(path)
+SQL_PUBS = """works AS (
+  SELECT 'Ñ' || CAST(o_custkey AS VARCHAR) AS author, 'Two' || chr(10) || 'lines, ' || CAST(o_orderkey AS VARCHAR) AS title, o_orderkey AS k,
+         strftime(CAST(o_orderdate AS DATE), '%d/%m/%Y') AS publication_date,
+         CAST(CAST(floor(o_totalprice / 25000.0) AS BIGINT) AS VARCHAR) AS total_citations FROM orders),
+cells AS (SELECT l_orderkey AS k, year(l_shipdate) AS year, sum(l_quantity) AS cites FROM lineitem GROUP BY 1, 2)"""
 
 
-@register("scan_patents_csv", sql(SQL_PATENTS, body="SELECT inventor, patent, filing_date FROM patents"))
+@register("scan_works_csv", sql(SQL_PUBS, body="""
+SELECT author, title, publication_date, total_citations, year, cites FROM works LEFT JOIN cells USING (k)"""))
+def q_scan_works_csv(spark, d):
+    """S3: the publications table with its real column names and the year columns that the data has, as works and cells."""
+    path, years = scratch_path(spark, "works-csv"), B.ship_years(spark, d)
+    o, cells = B.table(spark, d, "orders").withColumnRenamed("o_orderkey", "work_id"), B.order_cells(spark, d)
+    (o.join(cells, "work_id", "left")
+     .select(F.concat(F.lit("Two\nlines, "), F.col("work_id").cast("string")).alias("Title"),
+             F.concat(F.lit(" Ñ"), F.col("o_custkey").cast("string"), F.lit("\t")).alias("Authors"),
+             F.date_format("o_orderdate", "dd/MM/yyyy").alias("Publication Date"),
+             F.floor(F.col("o_totalprice") / B.CITES_DIVISOR).cast("long").alias("Total Citations"),
+             *[F.col("cells")[str(y)].alias(str(y)) for y in years])
+     .write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    works = X.scan_publications_csv(spark, path)
+    set_ = F.map_filter("cells", lambda k, v: v.isNotNull())
+    return _long(works.withColumn("cells", set_), "author", "title", "publication_date", "total_citations")
+
+
+@register("scan_patents_csv", sql(SQL_PATENTS, body="SELECT inventor, CAST(patent AS VARCHAR) AS patent, filing_date FROM patents"))
 def q_scan_patents_csv(spark, d):
     """Patents CSV with ``dd/MM/yyyy`` dates, latin-1 encoded, parsed strictly."""
     path = scratch_path(spark, "patents-csv")
-    p = B.patents_events(spark, d)
-    (p.select("inventor", "patent", F.date_format("filing_date", "dd/MM/yyyy").alias("filing_date"))
-     .write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").csv(path))
-    back = spark.read.option("header", True).option("encoding", "ISO-8859-1") \
-        .schema("inventor string, patent long, filing_date string").csv(path)
-    return back.select(S.normalize_name(S.trim_name("inventor")).alias("inventor"), "patent",
-                       S.strict_dmy_date("filing_date").alias("filing_date"))
+    _write_patents(B.patents_events(spark, d), path)
+    return X.scan_patents_csv(spark, path)
+
+
+def _write_patents(patents, path):
+    (patents.select(F.translate("inventor", "U", "Ú").alias("Inventor"), F.col("patent").alias("Patent"),
+                    F.date_format("filing_date", "dd/MM/yyyy").alias("Filing Date"))
+     .write.option("header", True).option("encoding", "ISO-8859-1").csv(path))
 
 
 @register("scan_encoding", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
@@ -176,9 +198,6 @@ def q_scan_encoding(spark, d):
     return back.select("doc_id", F.md5("text").alias("text_md5"))
 
 
-_ = W
-
-
 @register("coauthor_edges_from_exports", sql(SQL_COAUTHOR, """
 pairs AS (
   SELECT author AS a, unnest(list_filter(string_split(coalesce(corporate, '') || '; ' || coalesce(authors, ''), '; '),
@@ -189,36 +208,36 @@ def q_coauthor_edges_from_exports(spark, d):
     -> author from the file name (P13) -> co-author list (P12) -> split (F7)
     -> undirected deduplicated edges (G1)."""
     from citeflow.operators import graph as G
-    raw = X.scan_raw_export(spark, _written_raw(spark, d), tolerant=True)
-    rows = raw.select("author", W.derived_coauthor("corporate_authors", "authors").alias("coauthor"))
+    rows = _raw(spark, d).select("author", W.derived_coauthor("corporate_authors", "authors").alias("coauthor"))
     return G.coauthor_edges(rows)
 
 
-def _before_after_sql():
-    from citeflow.plans.q_timeline import ORACLE_BEFORE_AFTER
-    return ORACLE_BEFORE_AFTER
+#: E2's dates, moved back by up to 24 years so that the page's year range cuts some of them.
+SQL_E2 = """moved AS (SELECT *, CAST(CAST(ts AS DATE) - to_days(CAST(365 * (event_id % 25) AS INTEGER)) AS DATE) AS day FROM events),
+patents AS (SELECT DISTINCT upper('u' || CAST(user_id AS VARCHAR)) AS inventor, day AS filing_date, min(event_id) AS patent
+            FROM moved WHERE event_type = 'purchase' AND year(day) BETWEEN 2005 AND 2023 GROUP BY 1, 2),
+pubs AS (SELECT 'U' || CAST(user_id AS VARCHAR) AS author, day AS pub_date FROM moved
+         WHERE event_type <> 'purchase' AND year(day) BETWEEN 2005 AND 2023)"""
 
 
-@register("before_after_from_csv", _before_after_sql())
+@register("before_after_from_csv", sql(SQL_E2, body="""
+SELECT *, pubs_after - pubs_before AS change FROM (
+SELECT inventor, filing_date, patent,
+       (SELECT count(*) FROM pubs p WHERE p.author = inventor AND p.pub_date < filing_date) AS pubs_before,
+       (SELECT count(*) FROM pubs p WHERE p.author = inventor AND p.pub_date >= filing_date) AS pubs_after FROM patents)"""))
 def q_before_after_from_csv(spark, d):
     """E2 from files, as the patents page does it: a latin-1 patents CSV
     (strict ``dd/MM/yyyy``, names normalised) and a UTF-8 publications CSV
-    (lenient ``dd/MM/yyyy``, names trimmed) -> dedup -> before/after counts."""
+    (lenient ``dd/MM/yyyy``, names trimmed), both cut to 2005-2023 -> dedup -> before/after counts."""
     from citeflow.operators import timeline as T
     pat_path, pub_path = scratch_path(spark, "patents-csv"), scratch_path(spark, "pubs-csv")
-    (B.patents_events(spark, d)
-     .select(F.col("inventor").alias("Inventor"), F.col("patent").alias("Patent"),
-             F.date_format("filing_date", "dd/MM/yyyy").alias("Filing Date"))
-     .write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1").csv(pat_path))
+    moved = lambda day, key: F.date_sub(day, (F.lit(365) * (F.col(key) % 25)).cast("int"))
+    _write_patents(B.patents_events(spark, d).withColumn("filing_date", moved("filing_date", "patent")), pat_path)
     (B.pubs_events(spark, d)
      .select(F.col("author").alias("Authors"), F.col("work_id").alias("Title"),
-             F.date_format("pub_date", "dd/MM/yyyy").alias("Publication Date"))
-     .write.mode("overwrite").option("header", True).csv(pub_path))
-    pats = spark.read.option("header", True).option("encoding", "ISO-8859-1") \
-        .schema("Inventor string, Patent long, `Filing Date` string").csv(pat_path)
-    pubs = spark.read.option("header", True).schema("Authors string, Title string, `Publication Date` string").csv(pub_path)
-    pats = pats.select(S.normalize_name("Inventor").alias("inventor"), F.col("Patent").alias("patent"),
-                       S.strict_dmy_date("`Filing Date`").alias("filing_date"))
-    pubs = pubs.select(S.trim_name("Authors").alias("author"),
-                       S.strict_dmy_date("`Publication Date`", strict=False).alias("pub_date"))
-    return T.before_after_count(pats, pubs)
+             F.date_format(moved("pub_date", "work_id"), "dd/MM/yyyy").alias("Publication Date"))
+     .write.option("header", True).csv(pub_path))
+    pats = X.scan_patents_csv(spark, pat_path).withColumn("patent", F.col("patent").cast("long"))
+    pubs = X.scan_publications_csv(spark, pub_path).select(
+        "author", S.strict_dmy_date("publication_date", strict=False).alias("pub_date"))
+    return T.before_after_count(pats, pubs, years=(2005, 2023))

@@ -141,44 +141,35 @@ def q_count_and_sum(spark, d):
 
 # -- projections and filters --------------------------------------------------------
 
-_GRID_SQL = ",\n       ".join(f'sum(l_quantity) FILTER (WHERE year(l_shipdate) = {y}) AS "{y}"' for y in B.MATRIX_YEARS)
-SQL_WIDE = f"""wide AS (
-SELECT l_orderkey AS work_id, l_suppkey AS author,
-       {_GRID_SQL}
-FROM lineitem GROUP BY l_orderkey, l_suppkey)"""
+SQL_WIDE = """wide AS (
+PIVOT (SELECT l_orderkey AS work_id, l_suppkey AS author, year(l_shipdate) AS year, l_quantity FROM lineitem)
+ON year USING sum(l_quantity) GROUP BY work_id, author)"""
 
 
-def _cols(years):
-    return ", ".join(f'"{y}"' for y in years)
-
-
-@register("year_cols_from", sql(SQL_WIDE, body=f"SELECT work_id, author, {_cols(range(1995, 2006))} FROM wide"))
+@register("year_cols_from", sql(SQL_WIDE, body="SELECT work_id, author, COLUMNS('^(199[7-9]|[2-9][0-9]{3})$') FROM wide"))
 def q_year_cols_from(spark, d):
-    return W.year_cols_from(B.year_matrix(spark, d), lo=1995, keep=["work_id", "author"])
+    return W.year_cols_from(B.year_matrix(spark, d), lo=1997, keep=["work_id", "author"])
 
 
-@register("project_columns", sql(SQL_WIDE, body=f"SELECT work_id, author, {_cols(B.MATRIX_YEARS)} FROM wide"))
+@register("project_columns", sql(SQL_WIDE, body="SELECT * FROM wide"))
 def q_project_columns(spark, d):
     wide = B.year_matrix(spark, d)
     return wide.select("work_id", "author", *[F.col(f"`{y}`") for y in W.year_columns(wide.columns)])
 
 
-@register("prune_empty_years", sql(SQL_WIDE, """
-active AS (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem
-           WHERE l_quantity IS NOT NULL AND year(l_shipdate) BETWEEN 1990 AND 2005),
-cells2 AS (SELECT l_orderkey AS work_id, l_suppkey AS author, year(l_shipdate) AS year, sum(l_quantity) AS cites
-           FROM lineitem GROUP BY 1, 2, 3)""",
-body="""SELECT w.work_id, w.author, a.year, c.cites
-FROM (SELECT work_id, author FROM wide) w CROSS JOIN active a
-LEFT JOIN cells2 c ON c.work_id = w.work_id AND c.author = w.author AND c.year = a.year
-WHERE (SELECT max(coalesce(cites, 0) <> 0) FROM cells2 x WHERE x.year = a.year)"""))
+@register("prune_empty_years", sql("""
+cells AS (SELECT l_orderkey AS work_id, l_suppkey AS author, year(l_shipdate) AS year, sum(l_quantity) AS cites
+          FROM lineitem GROUP BY 1, 2, 3),
+active AS (SELECT DISTINCT year FROM cells WHERE cites <> 0)""", body="""
+SELECT w.work_id, w.author, a.year, c.cites
+FROM (SELECT DISTINCT work_id, author FROM cells) w CROSS JOIN active a
+LEFT JOIN cells c ON c.work_id = w.work_id AND c.author = w.author AND c.year = a.year"""))
 def q_prune_empty_years(spark, d):
-    """P2 on the wide matrix, then back to long with ``unpivot`` (kept cells,
+    """The active years from the long cells, one pivot over them, then back to long with ``unpivot`` (kept cells,
     nulls included) so the data-dependent schema can be compared."""
-    wide = B.year_matrix(spark, d)
-    pruned = W.prune_empty_years(wide, keep=["work_id", "author"])
-    years = W.year_columns(pruned.columns)
-    long = pruned.unpivot(["work_id", "author"], [F.col(f"`{y}`") for y in years], "year", "cites")
+    years = W.active_years(B.citation_cells(spark, d))
+    wide = B.year_matrix(spark, d, years)
+    long = wide.unpivot(["work_id", "author"], [F.col(f"`{y}`") for y in years], "year", "cites")
     return long.select("work_id", "author", F.col("year").cast("int").alias("year"), "cites")
 
 
@@ -249,14 +240,17 @@ def q_derived_coauthor(spark, d):
     return rows.select("work_id", "author", W.derived_coauthor("corporate", "authors").alias("coauthor"))
 
 
-@register("binary_target", sql(SQL_WIDE, body='SELECT work_id, author, coalesce("2001" > 0, false) AS target FROM wide'))
+@register("binary_target", """
+SELECT l_orderkey AS work_id, l_suppkey AS author, coalesce(sum(l_quantity) FILTER (WHERE year(l_shipdate) = 2001) > 0, false) AS target
+FROM lineitem GROUP BY 1, 2""")
 def q_binary_target(spark, d):
-    wide = B.year_matrix(spark, d)
+    years = sorted({*B.ship_years(spark, d), B.TARGET_YEAR})
+    wide = B.year_matrix(spark, d, years)
     return wide.select("work_id", "author", W.binary_target(str(B.TARGET_YEAR)).alias("target"))
 
 
-@register("row_sum_years", sql(SQL_WIDE, body="SELECT work_id, author, round(" +
-                               " + ".join(f'coalesce("{y}", 0)' for y in B.MATRIX_YEARS) + ", 6) AS row_sum FROM wide"))
+@register("row_sum_years", """
+SELECT l_orderkey AS work_id, l_suppkey AS author, round(coalesce(sum(l_quantity), 0), 6) AS row_sum FROM lineitem GROUP BY 1, 2""")
 def q_row_sum_years(spark, d):
     wide = B.year_matrix(spark, d)
     years = W.year_columns(wide.columns)
@@ -431,18 +425,19 @@ TOPK_FIRST_YEAR = 1995  # year columns considered (the page's ">= first year" cu
 def works_with_years(spark, d):
     """The publications table: works (orders) plus one citation column per
     year of the grid (lineitem quantity by ship year), 0 where none."""
+    years = B.ship_years(spark, d)
     li = B.table(spark, d, "lineitem").withColumn("_y", F.year("l_shipdate"))
-    cells = li.groupBy(F.col("l_orderkey").alias("work_id")).pivot("_y", B.MATRIX_YEARS).agg(F.sum("l_quantity"))
+    cells = li.groupBy(F.col("l_orderkey").alias("work_id")).pivot("_y", years).agg(F.sum("l_quantity"))
     t = B.works_orders(spark, d).join(cells, "work_id", "left")
     return t.select(*[c for c in t.columns if not c.isdigit()],
-                    *[S.fill_zero(F.col(f"`{y}`")).cast("double").alias(str(y)) for y in B.MATRIX_YEARS])
+                    *[S.fill_zero(F.col(f"`{y}`")).cast("double").alias(str(y)) for y in years])
 
 
 @register("topk_works_years", sql(SQL_WORKS, """
 cells AS (SELECT l_orderkey AS work_id, year(l_shipdate) AS year, sum(l_quantity) AS cites FROM lineitem GROUP BY 1, 2),
 rng AS (SELECT * FROM works WHERE year(pub_date) BETWEEN 1996 AND 1999),
 live AS (SELECT DISTINCT c.year FROM rng JOIN cells c USING (work_id)
-         WHERE c.year BETWEEN 1995 AND 2005 AND c.cites <> 0),
+         WHERE c.year >= 1995 AND c.cites <> 0),
 top AS (SELECT author, count(*) AS n FROM rng GROUP BY author ORDER BY n DESC, author ASC LIMIT 5),
 sel AS (SELECT * FROM rng WHERE author IN (SELECT author FROM top))""", body="""
 SELECT s.author, s.work_id, l.year, coalesce(c.cites, 0.0) AS cites
