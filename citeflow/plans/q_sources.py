@@ -88,7 +88,7 @@ def q_tolerant_ingest(spark, d):
     """An unreadable file (a broken archive) and a file of junk lines next to the exports. The exports are read
     whole, the archive is skipped, the junk line is listed as rejected."""
     junk = scratch_path(spark, "raw-junk")
-    spark.createDataFrame([("not an export, no header",)], "value string").write.text(junk + "/author=ZZ-junk")
+    spark.createDataFrame([("not an export, no header",)], "value string").coalesce(1).write.text(junk + "/author=ZZ-junk")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(junk + "/author=ZZ-broken/part-0.txt.gz")
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
     out.write(bytearray(b"\x1f\x8b\x08\x00 no archive"))
@@ -127,7 +127,7 @@ def q_file_audit_files(spark, d):
     like the header and that has more fields than the header."""
     bad = scratch_path(spark, "curated-bad")
     lines = "Title,Authors,2020\nTitle insurance,A,1,2,3"
-    spark.createDataFrame([(lines,)], "value string").write.text(bad + "/author=ZZ-bad")
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(bad + "/author=ZZ-bad")
     audit = X.file_audit(spark, [_written_curated(spark, d), bad], recursive=True)
     return audit.select(X.author_from_file(F.col("file")).alias("author"), "bad")
 
