@@ -12,11 +12,14 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeflow.session import cut_lineage
+
 NULL_CATEGORY = "\u0000null"   # null is a category of its own
 
 
@@ -51,12 +54,15 @@ def prepare_categoricals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str], hashed: Sequence[str] = (),
-                     hash_features: int = 256) -> list:
+                     hash_features: int = 256, rows: int | None = None) -> list:
     """Scaled numerics ++ one-hot categoricals ++ hashed high-cardinality
     strings (a title is nearly unique per row, so one-hot would grow with the
-    data)."""
+    data). Scaling is by the population deviation: ``rows``, the number of
+    rows to be fitted on, turns Spark's sample deviation into it."""
+    factor = (rows / (rows - 1)) ** 0.5 if rows and rows > 1 else 1.0
     stages = [VectorAssembler(inputCols=list(numeric), outputCol="_num", handleInvalid="keep"),
-              StandardScaler(inputCol="_num", outputCol="_num_z", withMean=True, withStd=True)]
+              StandardScaler(inputCol="_num", outputCol="_num_s", withMean=True, withStd=True),
+              ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(numeric)), inputCol="_num_s", outputCol="_num_z")]
     stages += one_hot_stages(categorical)
     parts = ["_num_z"] + [f"{c}__oh" for c in categorical]
     if hashed:
@@ -73,15 +79,20 @@ def mlp_classifier(n_features: int, hidden: Sequence[int] = (128, 64), max_iter:
                                           labelCol=label, featuresCol="features", blockSize=128)
 
 
+def _prepared(train: DataFrame, numeric, categorical, hashed, label, hash_features) -> tuple[PipelineModel, DataFrame, int]:
+    """Fitted preprocessing, the training vectors, and their length (from the column's metadata)."""
+    data = prepare_categoricals(train, categorical).withColumn(label, F.col(label).cast("double"))
+    pre = Pipeline(stages=feature_pipeline(numeric, categorical, hashed, hash_features, data.count())).fit(data)
+    vectors = pre.transform(data).select(label, "features")
+    return pre, vectors, int(vectors.schema["features"].metadata["ml_attr"]["num_attrs"])
+
+
 def fit_classifier(train: DataFrame, numeric, categorical, hashed=(), label: str = "label",
                    max_iter: int = 50, hash_features: int = 256, seed: int = 42) -> PipelineModel:
     """Fit preprocessing + MLP as one PipelineModel."""
-    pre = Pipeline(stages=feature_pipeline(numeric, categorical, hashed, hash_features))
-    data = prepare_categoricals(train, categorical).withColumn(label, F.col(label).cast("double"))
-    pre_model = pre.fit(data)
-    n = len(pre_model.transform(data.limit(1)).first()["features"])
-    mlp = mlp_classifier(n, max_iter=max_iter, seed=seed, label=label).fit(pre_model.transform(data))
-    return PipelineModel(stages=[*pre_model.stages, mlp])
+    pre, vectors, n = _prepared(train, numeric, categorical, hashed, label, hash_features)
+    mlp = mlp_classifier(n, max_iter=max_iter, seed=seed, label=label).fit(vectors)
+    return PipelineModel(stages=[*pre.stages, mlp])
 
 
 def score(model: PipelineModel, df: DataFrame, categorical: Sequence[str]) -> DataFrame:
@@ -103,24 +114,28 @@ def validation_curve(train: DataFrame, numeric, categorical, hashed=(), label: s
     """M14 (with A14 as its minimum): training objective and validation loss
     after n optimiser iterations, for each n in ``steps``.
 
-    The optimiser exposes no per-iteration validation loss, so the model is
-    refitted with ``maxIter = n`` on the training part and scored on a held-out
-    ``validation_pct`` share (hash split with a salt, as the page's 20%
+    The optimiser exposes no per-iteration validation loss, so the network is
+    refitted with ``maxIter = n`` on the training part's vectors (prepared once)
+    and scored on a held-out ``validation_pct`` share (hash split with a salt, as the page's 20%
     validation split). Validation loss is reported as mean absolute error (the
     page's loss) and as log-loss; both are aggregates over the scored rows.
     """
     fit_part, val_part = train_test_split(train, id_col, validation_pct, salt="/validation")
     spark = train.sparkSession
+    pre, vectors, size = _prepared(fit_part, numeric, categorical, hashed, label, 256)
+    held = pre.transform(prepare_categoricals(val_part, categorical)).select(F.col(label).cast("double").alias("y"), "features")
+    vectors, held = vectors.persist(), held.persist()
     rows = []
     for n in steps:
-        model = fit_classifier(fit_part, numeric, categorical, hashed, label, max_iter=int(n), seed=seed)
-        hist = loss_history(model)
-        scored = score(model, val_part, categorical)
-        pc = F.least(F.greatest(F.col("p"), F.lit(1e-7)), F.lit(1 - 1e-7))
-        y = F.col(label).cast("double")
-        m = scored.agg(F.avg(F.abs(y - F.col("p"))).alias("mae"),
-                       F.avg(-(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("ll")).first()
+        mlp = mlp_classifier(size, max_iter=int(n), seed=seed, label=label).fit(vectors)
+        hist = loss_history(PipelineModel(stages=[mlp]))
+        p, y = vector_to_array("probability")[1], F.col("y")
+        pc = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
+        m = mlp.transform(held).agg(F.avg(F.abs(y - p)).alias("mae"),
+                                    F.avg(-(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("ll")).first()
         rows.append((int(n), float(hist[-1]) if hist else None, float(m["mae"]), float(m["ll"])))
+    vectors.unpersist()
+    held.unpersist()
     return spark.createDataFrame(rows, "iterations int, train_objective double, val_mae double, val_logloss double")
 
 
@@ -148,75 +163,67 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     the confusion cells; the rest is arithmetic on at most 4 rows."""
     cm = df.groupBy(F.col(label).cast("int").alias("y"), F.col(pred).cast("int").alias("yhat")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    # each confusion cell counts towards its true class (support, tp) and its
-    # predicted class (predicted count): a union, no join
-    as_true = cm.select(F.col("y").alias("c"), F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0).alias("tp"),
-                        F.lit(0).cast("long").alias("pred_n"), F.col("n").alias("support"))
-    as_pred = cm.select(F.col("yhat").alias("c"), F.lit(0).cast("long").alias("tp"), F.col("n").alias("pred_n"),
-                        F.lit(0).cast("long").alias("support"))
-    per = as_true.unionByName(as_pred).groupBy("c").agg(
-        F.sum("tp").alias("tp"), F.sum("pred_n").alias("pred_n"), F.sum("support").alias("support"))
+    # the cells of all class pairs as one array in one row; the rest is arithmetic on it
+    cells = cm.agg(F.collect_list(F.struct("y", "yhat", "n")).alias("cells"))
 
     def div(a, b):
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
-    per = per.select(F.col("c").cast("string").alias("class"),
-                     div(F.col("tp"), F.col("pred_n")).alias("precision"),
-                     div(F.col("tp"), F.col("support")).alias("recall"),
-                     F.col("support").cast("long").alias("support"), "tp")
-    per = per.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("k"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                  F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                  F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    acc = tot.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), div(F.col("tp"), F.col("n")).alias("f1"),
-                     F.col("n").cast("long").alias("support"))
-    macro = tot.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                       F.col("mf").alias("f1"), F.col("n").cast("long").alias("support"))
-    weighted = tot.select(F.lit("weighted avg").alias("class"), div(F.col("wp"), F.col("n")).alias("precision"),
-                          div(F.col("wr"), F.col("n")).alias("recall"), div(F.col("wf"), F.col("n")).alias("f1"),
-                          F.col("n").cast("long").alias("support"))
-    return (per.select("class", "precision", "recall", "f1", "support")
-            .unionByName(acc).unionByName(macro).unionByName(weighted))
+    def total(cond):
+        return F.aggregate(F.filter("cells", cond), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+
+    classes = F.array_sort(F.array_distinct(F.concat(F.transform("cells", lambda x: x["y"]), F.transform("cells", lambda x: x["yhat"]))))
+    per = cells.select(F.transform(classes, lambda c: F.struct(
+        c.alias("c"), total(lambda x: (x["y"] == c) & (x["yhat"] == c)).alias("tp"),
+        total(lambda x: x["yhat"] == c).alias("pred_n"), total(lambda x: x["y"] == c).alias("support"))).alias("per"))
+
+    def row(name, precision, recall, f1, support):
+        return F.struct(name.alias("class"), precision.cast("double").alias("precision"), recall.cast("double").alias("recall"),
+                        f1.cast("double").alias("f1"), support.cast("long").alias("support"))
+
+    def scored(x):
+        p, r = div(x["tp"], x["pred_n"]), div(x["tp"], x["support"])
+        return row(x["c"].cast("string"), p, r, div(2 * p * r, p + r), x["support"])
+
+    def sum_of(f):
+        return F.aggregate("rows", F.lit(0.0), lambda acc, x: acc + f(x))
+
+    per = per.select("per", F.transform("per", scored).alias("rows"))
+    n = F.aggregate("per", F.lit(0).cast("long"), lambda acc, x: acc + x["support"])
+    hits = F.aggregate("per", F.lit(0).cast("long"), lambda acc, x: acc + x["tp"])
+    names = ("precision", "recall", "f1")
+    summary = F.array(row(F.lit("accuracy"), F.lit(None), F.lit(None), div(hits, n), n),
+                      row(F.lit("macro avg"), *[div(sum_of(lambda x, c=c: x[c]), F.size("rows")) for c in names], n),
+                      row(F.lit("weighted avg"), *[div(sum_of(lambda x, c=c: x[c] * x["support"]), n) for c in names], n))
+    return per.select(F.inline(F.concat("rows", summary)))
 
 
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Exclusive running sums of ``value_cols`` in ``order_col`` order, without
-    a single-task window: range-partition, total per partition (a handful of
-    rows to the driver), offsets as a literal map, then a per-partition window.
+    a single-task window over the rows: range-partition, written once with the
+    partition's number; a window inside each partition, plus the totals of the
+    partitions before it (one row a partition, so broadcasting them is bounded).
     ``order_col`` must be unique (pre-aggregate first)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id())
-    r = r.persist()
-    tots = r.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in value_cols]).collect()
-    tots = sorted(tots, key=lambda t: t["_pid"])
-    offsets = {c: {} for c in value_cols}
-    acc = {c: 0 for c in value_cols}
-    for t in tots:
-        for c in value_cols:
-            offsets[c][t["_pid"]] = acc[c]
-            acc[c] += t[c] or 0
-    from pyspark.sql import Window
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = cut_lineage(df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id()), "running")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = r.groupBy("_pid").agg(*[F.sum(c).alias(f"_{c}") for c in value_cols])
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in value_cols])
     w = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = r
+    out = r.join(F.broadcast(offsets), "_pid")
     for c in value_cols:
-        m = F.create_map(*[x for pid, off in offsets[c].items() for x in (F.lit(pid), F.lit(off))]) \
-            if offsets[c] else F.create_map()
-        out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(w), F.lit(0)) + F.coalesce(m[F.col("_pid")], F.lit(0)))
-    return out.drop("_pid")
+        out = out.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_{c}"))
+    return out.drop("_pid", *[f"_{c}" for c in value_cols])
 
 
 def roc_auc(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     """Exact ROC AUC (ties count one half), as the rank-sum statistic:
     sum over distinct scores s of pos(s) * (neg below s + neg(s)/2) / (P N).
     Scores are pre-aggregated, and the running negative count is a
-    distributed prefix sum (no single-task window)."""
+    distributed prefix sum (no single-task window). Null if all rows are of one class."""
     hist = df.groupBy(F.col(p).alias("s")).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg"))
     rt = running_totals(hist, "s", ["neg"])
     return rt.agg((F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
-                   / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+                   / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))

@@ -19,8 +19,8 @@ from collections.abc import Sequence
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -114,12 +114,15 @@ def silhouette_sq(df: DataFrame, x: str = "x", label: str = "cluster") -> DataFr
 # -- M2 / M3 -----------------------------------------------------------------------------------------
 
 
-def kmeans(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, max_iter: int = 50,
+def kmeans(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, max_iter: int = 1000,
            label: str = "cluster"):
-    """M2: Spark ML k-means (k-means|| init, seeded). Returns (model, labelled)."""
+    """M2: Spark ML k-means (k-means|| init, seeded). Returns (model, labelled); raises if it has not converged after
+    ``max_iter`` steps."""
     va = VectorAssembler(inputCols=list(cols), outputCol="_features")
     feats = va.transform(df)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol=label).fit(feats)
+    if model.summary.numIter >= max_iter:
+        raise RuntimeError(f"k-means has not converged after {max_iter} steps")
     return model, model.transform(feats).drop("_features")
 
 
@@ -160,7 +163,7 @@ def initial_medoids(df: DataFrame, k: int, id_col: str = "id", seed: int = 42) -
 
 
 def kmedoids(df: DataFrame, k: int, id_col: str = "id", x: str = "x", seed: int = 42,
-             max_iter: int = 100, medoids: Sequence | None = None):
+             max_iter: int = 1000, medoids: Sequence | None = None):
     """M7: alternate k-medoids (assign to nearest medoid, then per cluster the
     member minimising the summed squared distance) until medoids are stable.
 
@@ -185,6 +188,9 @@ def kmedoids(df: DataFrame, k: int, id_col: str = "id", x: str = "x", seed: int
         if new == meds:
             break
         meds = new
+    else:
+        pts.unpersist()
+        raise RuntimeError(f"k-medoids has not converged after {max_iter} steps")
     coords = medoid_coords(pts, meds, id_col, x)
     out = assign_nearest(df, coords, x)
     pts.unpersist()
@@ -200,10 +206,3 @@ def medoid_coords(points: DataFrame, ids: Sequence, id_col: str = "id", x: str =
 def medoid_rows(points: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """M8 as a relation: points whose id is a medoid (semi join)."""
     return points.join(ids.select(id_col), id_col, "left_semi")
-
-
-def spark_session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
-_ = vector_to_array

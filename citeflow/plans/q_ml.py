@@ -265,7 +265,7 @@ def q_one_hot(spark, d):
 def q_feature_pipeline(spark, d):
     from pyspark.ml import Pipeline
     pubs = C.prepare_categoricals(publications(spark, d), CATEGORICAL)
-    m = Pipeline(stages=C.feature_pipeline(numeric(pubs), CATEGORICAL, HASHED)).fit(pubs)
+    m = Pipeline(stages=C.feature_pipeline(numeric(pubs), CATEGORICAL, HASHED, rows=pubs.count())).fit(pubs)
     out = m.transform(pubs)
     a = vector_to_array("features")
     return out.select("work_id", F.size(a).alias("n_features"),

@@ -31,6 +31,19 @@ def test_auc_with_ties_matches_brute_force(spark):
     assert abs(got - ref) < 1e-12
 
 
+def test_auc_of_one_class_is_null(spark):
+    assert C.roc_auc(spark.createDataFrame([(1, 0.2), (1, 0.4)], "label int, p double")).first()[0] is None
+
+
+def test_features_are_scaled_by_the_population_deviation(spark):
+    df = spark.createDataFrame([(0.0, "a"), (1.0, "b"), (5.0, "a")], "v double, c string")
+    data = C.prepare_categoricals(df, ["c"])
+    got = Pipeline(stages=C.feature_pipeline(["v"], ["c"], rows=3)).fit(data).transform(data)
+    z = [r[0][0] for r in got.select(vector_to_array("features")).collect()]
+    sd = (sum((x - 2.0) ** 2 for x in (0.0, 1.0, 5.0)) / 3) ** 0.5
+    assert all(abs(a - (x - 2.0) / sd) < 1e-9 for a, x in zip(z, (0.0, 1.0, 5.0)))
+
+
 def test_split_is_deterministic(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     tr, te = C.train_test_split(df, "k")
