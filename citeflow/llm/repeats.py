@@ -16,8 +16,8 @@ and only segments whose anchors have equal hashes can share a window.
    polynomial hashes (about 8 steps) and one byte comparison. Neighbours with ``length`` common bytes are repeats. Collisions
    are verified: neighbours are compared byte by byte, a comparison whose deciding bytes agree is a collision too, and a
    group with one is decided by its bytes alone.
-4. A bucket of more than ``most`` distinct segments is not sorted in one task: its windows' hashes (128 bits) are counted by
-   Spark instead, exactly like the segments in step 2.
+4. A bucket of more than ``most`` distinct segments is not sorted in one task: its windows are found by a search over narrowing
+   ranges of offsets instead, each step a count by Spark of equal contents (128 bits), like step 2.
 
 Nothing is capped or sampled. A document's spans are merged and cut out in one last join with its text.
 
@@ -335,20 +335,63 @@ def _sorted_buckets(rows: DataFrame, length: int, most_windows: int = 1 << 18) -
     return map_arrow(dealt, run, "doc long, first long, last long")
 
 
-def _counted_windows(rows: DataFrame, length: int) -> DataFrame:
-    """Large buckets: every window by its hashes (128 bits), counted by Spark."""
+def range_hashes(data: np.ndarray, off: int, n: int, a: int, b: int, length: int) -> tuple[int, ...]:
+    """For a segment's windows whose anchor offset is in [a, b]: the least and the greatest such offset, two hashes of the
+    bytes that all windows of the range have in common, and two of all bytes of the segment's own windows in it."""
+    low, high = max(a, off - n), min(b, off)
+    core = (off - a, max(off - a, off - b + length))
+    whole = (off - high, off - low + length)
+    out = [low, high]
+    for x, y in (core, whole):
+        at, end = np.array([x]), np.array([y])
+        for p in (POLY_A, POLY_B):
+            h = mix(p.of(p.prefix(data), at, end) + mix((at * 0 + (y - x)).astype(U)))
+            out.append(int(h.view(np.int64)[0]))
+    return tuple(out)
+
+
+def _narrowed_ranges(rows: DataFrame, length: int, width: int = 64) -> DataFrame:
+    """Large buckets by a search over ranges of anchor offsets, every step a count by Spark.
+
+    Segments that agree in all bytes of their windows in a range are repeated there as a whole; segments whose common
+    bytes of the range are unique have no repeat in it; the others go on, one for each distinct content, with the range
+    cut in four, down to single windows. So a segment that differs from a thousand others beyond some byte gives a row a step,
+    not a row a window.
+    """
+    spark = rows.sparkSession
+    tops = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(a + width - 1).alias("b")) for a in range(0, length, width)])
+    now = rows.select("key", "doc", "first", "n", "off", "bytes", F.explode(tops).alias("r")).select(
+        "key", "doc", "first", "n", "off", "bytes", "r.a", "r.b")
+    inside = "a <= off and b >= off - n"
+    found = spark.createDataFrame([], "doc long, first long, last long")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, first, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 5))):
-                d = np.frombuffer(data, np.uint8)
-                at = np.arange(len(d) - length + 1)
-                a, b = (mix(p.of(p.prefix(d), at, at + length)).view(np.int64) for p in (POLY_A, POLY_B))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(at), doc)), pa.array(at + first)],
-                                                 names=["a", "b", "doc", "first"])
-
-    windows = map_arrow(rows.select("key", "doc", "first", "n", "off", "bytes"), run, "a long, b long, doc long, first long")
-    twice = windows.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    return windows.join(twice, ["a", "b"], "left_semi").select("doc", "first", F.col("first").alias("last"))
+            cols = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+            made = [range_hashes(np.frombuffer(d, np.uint8), o, n, x, y, length)
+                    for d, o, n, x, y in zip(cols["bytes"], cols["off"], cols["n"], cols["a"], cols["b"])]
+            new = list(zip(*made)) if made else [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(c, pa.int32()) for c in new[:2]), *(pa.array(c, pa.int64()) for c in new[2:])],
+                names=[*batch.schema.names, "low", "high", "core", "core2", "whole", "whole2"])
+
+    schema = "key long, doc long, first long, n int, off int, bytes binary, a int, b int, low int, high int, core long, core2 long, whole long, whole2 long"
+    core, whole = ["key", "a", "core", "core2"], ["whole", "whole2", "low", "high"]
+    while width:
+        hashed = cut_lineage(map_arrow(now.where(inside), run, schema), "ranges")
+        if hashed.isEmpty():
+            break
+        wholes = cut_lineage(hashed.groupBy(*core, *whole).agg(
+            F.count("*").alias("copies"), F.min(F.struct("doc", "first", "n", "off", "bytes")).alias("one")), "range-wholes")
+        same = hashed.join(wholes.where("copies > 1").select(*core, *whole), [*core, *whole], "left_semi")
+        found = found.unionByName(same.select("doc", (F.col("first") + F.col("off") - F.col("high")).alias("first"),
+                                              (F.col("first") + F.col("off") - F.col("low")).alias("last")))
+        open_ = wholes.groupBy(*core).agg(F.count("*").alias("distinct")).where("distinct > 1").select(*core)
+        width //= 4
+        parts = F.array(*[F.struct((F.col("a") + i * width).alias("a"), (F.col("a") + (i + 1) * width - 1).alias("b")) for i in range(4)])
+        now = wholes.join(open_, core, "left_semi").select("key", "one.*", "a").withColumn("r", F.explode(parts)).select(
+            "key", "doc", "first", "n", "off", "bytes", "r.a", "r.b")
+    return found
 
 
 def repeated_starts(docs: DataFrame, length: int = 200, most: int = 1024) -> DataFrame:
@@ -365,7 +408,7 @@ def repeated_starts(docs: DataFrame, length: int = 200, most: int = 1024) -> Dat
     fetched = cut_lineage(_with_bytes(bucketed, docs, length), "buckets")
     large = per_key.where(F.col("distinct") > most).select("key")
     small = _sorted_buckets(fetched.join(large, "key", "left_anti"), length)
-    counted = _counted_windows(fetched.join(large, "key", "left_semi"), length)
+    counted = _narrowed_ranges(fetched.join(large, "key", "left_semi"), length)
     return in_full.unionByName(small).unionByName(counted)
 
 
