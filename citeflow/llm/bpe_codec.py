@@ -127,7 +127,7 @@ def merge_bytes(word: bytes, byte_ids: list[int], pairs: dict[int, int]) -> list
 
 
 class ByteBPE:
-    """Encoder and decoder of one rank file."""
+    """Encoder of one rank file."""
 
     def __init__(self, blob: bytes, pattern: str):
         ranks = read_ranks(blob)
@@ -136,10 +136,6 @@ class ByteBPE:
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.find = regex.compile(pattern).findall
         self.pieces = PieceEncoder(self.encode_piece)
-        tokens = sorted((r, t) for t, r in ranks.items())
-        self.tokens = [b""] * (tokens[-1][0] + 1)
-        for r, t in tokens:
-            self.tokens[r] = t
 
     def encode_piece(self, piece: str) -> list[int]:
         out: list[int] = []
@@ -155,6 +151,16 @@ class ByteBPE:
     def encode(self, text: str | None) -> np.ndarray:
         return self.pieces.encode(text)
 
+
+class Decoder:
+    """Bytes of ids: one table of tokens."""
+
+    def __init__(self, blob: bytes):
+        ranks = read_ranks(blob)
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -181,13 +187,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     return map_texts(df, text_col, f"{ids_col} binary", make)
 
 
-def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """Add ``decoded_col``: the bytes that the ids in ``ids_col`` (as ``encode`` writes them; null: none) stand for."""
     blob = vocabulary(docs.sparkSession, path)
     df = docs.withColumn("__ids", F.col(ids_col))
 
     def make():
-        codec = _codec(blob, pattern)
+        codec = shared_encoder(("tokens", len(blob.value)), lambda: Decoder(blob.value))
         return lambda rows: [pa.array([codec.decode(np.frombuffer(r or b"", "<u4").tolist()) for r in rows], pa.binary())]
 
     return map_texts(df, "__ids", f"{decoded_col} binary", make)

@@ -24,7 +24,7 @@ def query(fn):
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe_codec.decode(bpe_codec.encode(docs, path, pattern), path, pattern)
+    both = bpe_codec.decode(bpe_codec.encode(docs, path, pattern), path)
     return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
