@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeflow.session import cut_lineage, scratch_path, shared_dir  # noqa: F401  (re-exported)
+from citeflow.session import cut_lineage, drop_stage, scratch_path, shared_dir, write_stage  # noqa: F401  (re-exported)
 
 #: Bytes of text an Arrow step works on before it yields what it has.
 STEP_BYTES = 8 << 20

@@ -166,34 +166,29 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, tile: int = 32768, most_t
     route = spark.createDataFrame(pairs, "pair long, tile int, side int")
     tiled = celled.join(F.broadcast(place), names).select(  # as many rows as there are cells
         "fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("tile"))
-    routed = tiled.join(F.broadcast(route.groupBy("tile").agg(F.collect_list(F.struct("pair", "side")).alias("to"))), "tile")
-    rows = routed.select("fp", F.explode("to").alias("to")).select("to.pair", "to.side", "fp")
-    tasks = max(1, min(len(pairs), int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
+    blocks = tiled.groupBy("tile").agg(F.collect_list("fp").alias("fps"))  # a row is a tile: its size is bounded
+    to = F.broadcast(route.groupBy("tile").agg(F.collect_list(F.struct("pair", "side")).alias("to")))
+    rows = blocks.join(to, "tile").select(F.explode("to").alias("to"), "fps").select("to.pair", "to.side", "fps")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(len(pairs), max(4 * parts, len(pairs) // 32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["u", "v"]
-
-        def done(parts):
-            side = np.concatenate([p[1] for p in parts])
-            fp = np.concatenate([p[2] for p in parts]).view("<u8")
-            found = link_tiles(fp, None, radius) if side[0] == 2 else link_tiles(fp[side == 0], fp[side == 1], radius)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=names)
-
-        held: list[tuple] = []
+        held = None
         for batch in batches:
-            pair, side, fp = (batch.column(i).to_numpy() for i in range(3))
-            cuts = np.append(0, np.flatnonzero(np.diff(pair)) + 1)
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(pair))):
-                if hi == lo:
+            pair, side = (batch.column(i).to_pylist() for i in range(2))
+            for i, (p, s) in enumerate(zip(pair, side)):
+                fps = batch.column(2).slice(i, 1).flatten().to_numpy().view("<u8")
+                if s == 2:
+                    found = link_tiles(fps, None, radius)
+                elif held is not None and held[0] == p:
+                    found = link_tiles(held[1], fps, radius)
+                    held = None
+                else:  # the first tile of a pair waits for the second, its neighbour in the order
+                    held = (p, fps.copy())
                     continue
-                if held and held[0][0] != pair[lo]:
-                    yield done(held)
-                    held = []
-                held.append((pair[lo], side[lo:hi], fp[lo:hi]))
-        if held:
-            yield done(held)
-
-    grouped = rows.repartition(tasks, "pair").sortWithinPartitions("pair")
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["u", "v"])
+
+    grouped = rows.repartition(tasks, "pair").sortWithinPartitions("pair", "side")
     return map_arrow(grouped, run, "u long, v long")
 
 
