@@ -166,7 +166,7 @@ class Decoder:
 
 
 def _codec(blob, pattern: str) -> ByteBPE:
-    return shared_encoder(("bpe", blob.value[:64], len(blob.value), pattern), lambda: ByteBPE(blob.value, pattern))
+    return shared_encoder("bpe" + pattern, blob.value, lambda: ByteBPE(blob.value, pattern))
 
 
 def vocabulary(spark, path: str):
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         codec = _codec(blob, pattern)
         return lambda texts: [pa.array([codec.encode(t).astype("<u4").tobytes() for t in texts], pa.binary())]
 
-    return map_texts(df, text_col, f"{ids_col} binary", make)
+    return map_texts(df, text_col, f"{ids_col} binary", make, keeps_table=True)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
@@ -193,7 +193,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", decoded_col: str =
     df = docs.withColumn("__ids", F.col(ids_col))
 
     def make():
-        codec = shared_encoder(("tokens", len(blob.value)), lambda: Decoder(blob.value))
+        codec = shared_encoder("tokens", blob.value, lambda: Decoder(blob.value))
         return lambda rows: [pa.array([codec.decode(np.frombuffer(r or b"", "<u4").tolist()) for r in rows], pa.binary())]
 
-    return map_texts(df, "__ids", f"{decoded_col} binary", make)
+    return map_texts(df, "__ids", f"{decoded_col} binary", make, keeps_table=True)

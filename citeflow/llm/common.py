@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citeflow.llm.pretokens import release
 from citeflow.session import cut_lineage, drop_stage, scratch_path, shared_dir, write_stage  # noqa: F401  (re-exported)
 
 #: Bytes of text an Arrow step works on before it yields what it has.
@@ -60,12 +61,20 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema, keeps_table: bool = False) -> DataFrame:
+    """``mapInArrow``. Python workers are reused: unless the tasks use a table shared by a worker's tasks (``keeps_table``),
+    they first let go of the one that an earlier stage may have left in their worker."""
     ship_code(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps_table:
+            release()
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
-def map_texts(df: DataFrame, text_col: str, out_schema: str, make: Callable[[], Callable]) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, out_schema: str, make: Callable[[], Callable], keeps_table: bool = False) -> DataFrame:
     """``mapInArrow`` that hands texts to ``fn(texts) -> list of Arrow arrays``, one array per new column.
 
     All columns of ``df`` but ``text_col`` are kept; the new columns of ``out_schema`` follow. ``make()`` builds ``fn``
@@ -84,4 +93,4 @@ def map_texts(df: DataFrame, text_col: str, out_schema: str, make: Callable[[],
                 cols = [part.column(i) for i in range(part.num_columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*cols, *made], names=names)
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, schema, keeps_table)

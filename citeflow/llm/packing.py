@@ -177,9 +177,11 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = 4096, id_col
     schema = T.StructType([df.schema["id"]] + [T.StructField(n, T.LongType(), False) for n in
                           ("start", "length", "doc_tokens", "sequence_id", "offset")] + [T.StructField("ids", T.BinaryType(), False)])
 
+    ends = sentence_end_table(blob.value)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(("word", len(blob.value)), lambda: library_encoder(blob.value, WORD_PATTERN, True))
-        packer = Packer(window, sentence_end_table(blob.value), **penalties)
+        encoder = shared_encoder("word", blob.value, lambda: library_encoder(blob.value, WORD_PATTERN, True))
+        packer = Packer(window, ends, **penalties)
         base = TaskContext.get().partitionId() << 40
         meta: dict[int, tuple] = {}  # open documents only
         id_type, rows, size = None, [], 0
@@ -212,5 +214,5 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = 4096, id_col
         if rows:
             yield flush()
 
-    out = map_arrow(df, run, schema)
+    out = map_arrow(df, run, schema, keeps_table=True)
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out

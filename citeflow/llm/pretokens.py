@@ -8,6 +8,8 @@ a numpy gather a text.
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -45,17 +47,22 @@ class PieceEncoder(dict):
 
     ``encode_piece(str) -> sequence of int`` encodes a piece *with* its space. Once ``max_pieces`` pieces or ``max_ids``
     ids are held the table starts anew, so memory is bounded and results do not depend on what it holds. A word with one
-    mark after it is the word and the mark; with ``lower`` (the tokenizer lower-cases) a word is its lower-case form.
+    mark after it is the word and the mark; words around a line break are both and the break between them (a single break
+    is a pre-token of its own, or dropped); with ``lower`` (the tokenizer lower-cases) a word is its lower-case form.
     """
 
     def __init__(self, encode_piece: Callable, lower: bool = False, max_pieces: int = 900_000, max_ids: int = 8_000_000):
         super().__init__()
         self.encode_piece, self.lower, self.max_pieces, self.max_ids = encode_piece, lower, max_pieces, max_ids
         self.marks = {m: list(encode_piece(m)) for m in MARKS}
-        self.begin, self.count, self.flat = array("q"), array("q"), array("i")
+        self.newline = list(encode_piece("\n"))
+        self._reset()
 
     def __missing__(self, piece: str) -> int:
-        if piece[-1:] in self.marks and piece[:-1].isalpha() and (not self.lower or self._stays_word(piece)):
+        line = self._line_break(piece)
+        if line:
+            ids = [*self._ids(piece[:line]), *self.newline, *self._after_break(piece[line + 1 :])]
+        elif piece[-1:] in self.marks and piece[:-1].isalpha() and (not self.lower or self._stays_word(piece)):
             ids = [*self._ids(piece[:-1]), *self.marks[piece[-1]]]
         elif self.lower and piece.isascii() and piece.isalpha() and not piece.islower():
             ids = self._ids(piece.lower())
@@ -69,6 +76,22 @@ class PieceEncoder(dict):
             self[piece] = row
         return row
 
+    @staticmethod
+    def _line_break(piece: str) -> int:
+        """The place of a piece's only line break if it stands between characters that are not white space, else 0."""
+        at = piece.find("\n")
+        if at <= 0 or at + 1 == len(piece) or piece.find("\n", at + 1) > 0 or piece[at - 1].isspace() or piece[at + 1].isspace():
+            return 0
+        return at
+
+    def _after_break(self, word: str) -> array:
+        """Ids of what follows a line break, without a space before it."""
+        if self.lower:
+            return self._ids(word)
+        if word not in self.bare:
+            self.bare[word] = array("i", self.encode_piece(word))
+        return self.bare[word]
+
     @staticmethod
     def _stays_word(piece: str) -> bool:
         """Normalising and lower-casing leave the letters letters (no combining mark appears before the mark)."""
@@ -81,9 +104,10 @@ class PieceEncoder(dict):
     def _reset(self) -> None:
         self.clear()
         self.begin, self.count, self.flat = array("q"), array("q"), array("i")
+        self.bare: dict[str, array] = {}
 
     def _pieces(self, pieces: list[str]) -> np.ndarray:
-        if len(self) > self.max_pieces or len(self.flat) > self.max_ids:
+        if len(self) + len(self.bare) > self.max_pieces or len(self.flat) > self.max_ids:
             self._reset()
         rows = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
         n = np.frombuffer(self.count, np.int64)[rows]
@@ -136,7 +160,7 @@ def library_piece_encoder(tokenizer_json: bytes, pattern: str, lower: bool) -> C
 
     def encode_piece(piece: str) -> list[int]:
         body = piece[1:]
-        if body.isascii():
+        if piece.isascii():
             if body.isalpha() and piece[0] == " ":  # one pre-token of characters that stand for themselves
                 return [t.id for t in model.tokenize(space + (body.lower() if lower else body))]
         elif beyond(piece):
@@ -162,9 +186,19 @@ def library_encoder(tokenizer_json: bytes, pattern: str, lower: bool) -> PieceEn
 _SHARED: dict[tuple, PieceEncoder] = {}
 
 
-def shared_encoder(key: tuple, make: Callable[[], PieceEncoder]) -> PieceEncoder:
-    """One encoder a Python worker process, so that later tasks of the worker find its table filled."""
+def shared_encoder(kind: str, blob: bytes, make: Callable[[], PieceEncoder]) -> PieceEncoder:
+    """One encoder a Python worker process, so that later tasks of the worker find its table filled.
+
+    The key is a digest of the whole vocabulary. Tasks that do not ask for a table let go of it (``release``)."""
+    key = (kind, hashlib.sha256(blob).digest())
     if key not in _SHARED:
         _SHARED.clear()
         _SHARED[key] = make()
     return _SHARED[key]
+
+
+def release() -> None:
+    """Give up the table that earlier tasks of this worker left."""
+    if _SHARED:
+        _SHARED.clear()
+        gc.collect()

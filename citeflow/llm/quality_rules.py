@@ -99,7 +99,8 @@ def with_verdicts(measures: DataFrame) -> DataFrame:
 
 
 def choose_cutoffs(good: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """Rows of ``with_verdicts`` of documents labelled good -> one row: rule, stratum, cutoff for each that is admitted."""
+    """Rows of ``with_verdicts`` of documents labelled good -> one row: rule, stratum and the lowest
+    cutoff that is admitted (the bound covers all cutoffs, so the allowed share may be spent)."""
     tests = sum(len(c) for _, c in RULES.values()) * (len(BANDS) + 1)
     rate, limit = alpha / len(RULES), delta / tests
     bins = [F.struct(F.lit(name).alias("rule"), F.array(*[F.lit(c).cast("long") for c in cuts]).alias("cuts"),
@@ -115,7 +116,7 @@ def choose_cutoffs(good: DataFrame, alpha: float = 0.05, delta: float = 0.05) ->
         (a["term"] + F.log((F.col("n") - i) / (i + 1) * F.lit(odds))).alias("term"), (a["total"] + F.exp(a["term"])).alias("total"))
     begin = F.struct((F.col("n") * F.log(F.lit(1 - rate))).alias("term"), F.lit(0.0).alias("total"))
     tail = F.when(F.col("k") < F.col("n"), F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("k")), begin, step)["total"]).otherwise(F.lit(1.0))
-    return each.where(tail <= limit).groupBy("rule", "stratum").agg(F.min(F.struct("k", "cutoff"))["cutoff"].alias("cutoff"))
+    return each.where(tail <= limit).groupBy("rule", "stratum").agg(F.min("cutoff").alias("cutoff"))
 
 
 def apply_cutoffs(judged: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -165,6 +166,6 @@ good AS (SELECT * FROM judged WHERE doc_id IN (SELECT doc_id FROM labels GROUP B
 counted AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM ({grid}) GROUP BY ALL),
 tails AS (SELECT stratum, rule, cutoff, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate}))) AS p
   FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM counted WHERE k < n) GROUP BY ALL),
-chosen AS (SELECT rule, stratum, arg_min(cutoff, k * 1000000 + cutoff) AS cutoff FROM tails WHERE p <= {limit} GROUP BY ALL)
+chosen AS (SELECT rule, stratum, min(cutoff) AS cutoff FROM tails WHERE p <= {limit} GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({fails}) AS kept
 FROM judged"""

@@ -76,9 +76,10 @@ def write_records(docs: DataFrame, folder: str, path: str, pattern: str, end_id:
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     df = df.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").drop("h")
 
+    width = 2 if encoder_size(blob.value) <= 1 << 16 else 4
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(("bytes", len(blob.value), pattern), lambda: library_encoder(blob.value, pattern, False))
-        width = 2 if encoder_size(blob.value) <= 1 << 16 else 4
+        encoder = shared_encoder("bytes" + pattern, blob.value, lambda: library_encoder(blob.value, pattern, False))
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         store = where = out = None
@@ -104,7 +105,7 @@ def write_records(docs: DataFrame, folder: str, path: str, pattern: str, end_id:
             f.write(np.array(entries, ENTRY).tobytes())
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "file": [name], "records": [len(entries)], "ids": [first], "bytes": [at]})
 
-    (map_arrow(df, run, "shard long, file string, records long, ids long, bytes long")
+    (map_arrow(df, run, "shard long, file string, records long, ids long, bytes long", keeps_table=True)
        .write.mode("errorifexists").parquet(f"{folder}/manifest"))
 
 

@@ -70,7 +70,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     schema = T.StructType([df.schema["id"], *(T.StructField(n, T.LongType()) for n in ("section", "start", "end", "n_tokens", "n_crossing"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(("bytes", len(blob.value), pattern), lambda: library_encoder(blob.value, pattern, False))
+        encoder = shared_encoder("bytes" + pattern, blob.value, lambda: library_encoder(blob.value, pattern, False))
         size, lead = token_shapes(blob.value)
         for batch in batches:
             for part in slices(batch, 1):
@@ -91,5 +91,5 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 ids_out = part.column(0).take(pa.array(np.concatenate(who)))
                 yield pa.RecordBatch.from_arrays([ids_out, *(pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*cols))], names=schema.names)
 
-    out = map_arrow(df, run, schema)
+    out = map_arrow(df, run, schema, keeps_table=True)
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out

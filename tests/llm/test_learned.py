@@ -83,7 +83,12 @@ def test_cutoffs_hold_their_exact_bound(spark):
 
     ok = [(sum(v > c for v in values), c) for c in quality_rules.RULES["symbols"][1]]
     ok = [x for x in ok if admitted(x[0])]
-    assert chosen[("symbols", 0)] == min(ok)[1]
+    assert chosen[("symbols", 0)] == min(c for _, c in ok)
+    # a few planted outliers among the good do not switch the rule off
+    outliers = [0] * (n - 6) + [90] * 6
+    loud = spark.createDataFrame([(0, v) for v in outliers], "stratum int, r_symbols long").select("stratum", "r_symbols", *rules.values())
+    least = {(c.rule, c.stratum): c.cutoff for c in quality_rules.choose_cutoffs(loud).collect()}[("symbols", 0)]
+    assert least == (min(quality_rules.RULES["symbols"][1]) if admitted(6) else min(c for c in quality_rules.RULES["symbols"][1] if c >= 90))
     few = good.limit(100)
     assert quality_rules.choose_cutoffs(few).count() == 0
 
