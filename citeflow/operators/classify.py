@@ -101,6 +101,16 @@ def score(model: PipelineModel, df: DataFrame, categorical: Sequence[str]) -> Da
     return out.withColumn("p", vector_to_array("probability")[1])
 
 
+def network_data(train: DataFrame, test: DataFrame, numeric, categorical, hashed=(), label: str = "label", id_col: str = "work_id",
+                 hash_features: int = 256, validation_pct: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Feature vectors of the fit, validation (a salted hash split of ``train``) and test rows, by one preprocessing that is
+    fitted on the fit rows: id, label, features."""
+    fit_part, val_part = train_test_split(train, id_col, validation_pct, salt="/validation")
+    pre, _, _ = _prepared(fit_part, numeric, categorical, hashed, label, hash_features)
+    made = lambda df: pre.transform(prepare_categoricals(df, categorical)).select(id_col, F.col(label).cast("double").alias(label), "features")
+    return made(fit_part), made(val_part), made(test)
+
+
 def loss_history(model: PipelineModel) -> list[float]:
     """The optimiser's objective per iteration (train loss)."""
     m = model.stages[-1]

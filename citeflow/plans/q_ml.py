@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeflow.functions import scalars as S
 from citeflow.operators import classify as C
 from citeflow.operators import cluster as K
+from citeflow.operators import network as N
 from citeflow.operators import works as W
 from citeflow.plans import bindings as B
 from citeflow.plans.catalog import SQL_WORKS, register, sql
@@ -155,6 +156,51 @@ def q_silhouette_sq(spark, d):
     return K.silhouette_sq(pts, "x", "label").select(F.round("silhouette_sq", 6).alias("silhouette_sq"))
 
 
+SQL_SILHOUETTE = """
+sizes AS (SELECT label, count(*) AS n FROM pts GROUP BY label),
+pair AS (SELECT a.id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) AS tot
+         FROM pts a JOIN pts b ON a.id <> b.id GROUP BY 1, 2, 3),
+per AS (SELECT p.id, p.own,
+               max(CASE WHEN p.other = p.own THEN p.tot / (s.n - 1) END) AS a,
+               min(CASE WHEN p.other <> p.own THEN p.tot / s.n END) AS b
+        FROM pair p JOIN sizes s ON s.label = p.other GROUP BY 1, 2),
+allp AS (SELECT pts.id, pts.label, per.a, per.b, sizes.n FROM pts JOIN sizes USING (label) LEFT JOIN per ON per.id = pts.id)"""
+SELECT_SILHOUETTE = """
+SELECT round(avg(CASE WHEN n <= 1 THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM allp"""
+
+
+@register("silhouette_vectors", sql("pts AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)", SQL_SILHOUETTE,
+                                    body=SELECT_SILHOUETTE))
+def q_silhouette_vectors(spark, d):
+    """M5 (Euclidean) of the embeddings with their labels as clusters."""
+    pts = K.as_array(B.table(spark, d, "embeddings"), "embedding")
+    return K.silhouette(pts, "x", "label").select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@register("silhouette_bands", sql(SQL_WORKS, SQL_FEAT, """
+pts AS (SELECT author AS id, CAST(publications // 4 AS INTEGER) AS label, [CAST(publications AS DOUBLE), CAST(total_cites AS DOUBLE)] AS x FROM feat)""",
+SQL_SILHOUETTE, body=SELECT_SILHOUETTE))
+def q_silhouette_bands(spark, d):
+    """M5 (Euclidean) of authors by (publications, citations), with bands of four publications as clusters."""
+    f = K.as_array(author_features(spark, d), ["publications", "total_cites"]).withColumn("label", F.floor(F.col("publications") / 4).cast("int"))
+    return K.silhouette(f, "x", "label").select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@register("silhouette_kmeans")
+def q_silhouette_kmeans(spark, d):
+    """M2 + M5 (Euclidean): the page's number for k-means on scaled author features."""
+    _m, lab = K.kmeans(scaled_features(spark, d), ["publications_z", "total_cites_z"], N_CLUSTERS, SEED)
+    return K.silhouette(K.as_array(lab, ["publications_z", "total_cites_z"]), "x", "cluster")
+
+
+@register("silhouette_kmedoids")
+def q_silhouette_kmedoids(spark, d):
+    """M7 + M5 (Euclidean): the page's number for k-medoids on scaled author features."""
+    z = K.as_array(scaled_features(spark, d), ["publications_z", "total_cites_z"])
+    _meds, lab = K.kmedoids(z, N_CLUSTERS, "author", "x", SEED)
+    return K.silhouette(lab, "x", "cluster")
+
+
 @register("silhouette_authors")
 def q_silhouette_authors(spark, d):
     """M2 + M5: silhouette of the page's k-means on scaled author features."""
@@ -286,10 +332,52 @@ def q_loss_history(spark, d):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(h)], "iteration int, loss double")
 
 
+EPOCHS = 10         # the page's least slider value
+
+
+def _network(spark, d, epochs=EPOCHS):
+    """(folder of epoch states, validation rows, test rows) of the page's network."""
+    pubs = publications(spark, d)
+    train, test = C.train_test_split(pubs, "work_id")
+    fit, val, test = C.network_data(train, test, numeric(pubs), CATEGORICAL, HASHED)
+    return N.train(fit, val, epochs), val, test
+
+
+@register("network_classifier")
+def q_network_classifier(spark, d):
+    """M13 + M15: the page's network, trained and applied to the test split."""
+    folder, _val, test = _network(spark, d)
+    s = C.predict_threshold(N.score(test, N.state_of(spark, folder, EPOCHS)[0]))
+    return s.select("work_id", F.col("label").cast("int").alias("label"), "prediction", F.round("p", 6).alias("p"))
+
+
+@register("network_history")
+def q_network_history(spark, d):
+    """Training and validation loss, one row an epoch, all from one run."""
+    folder, _val, _test = _network(spark, d)
+    return N.history(spark, folder)
+
+
+@register("network_scores_valid", """
+WITH split AS (SELECT o_orderkey AS work_id, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 20 AS test FROM orders)
+SELECT work_id, true AS is_probability, true AS loss_agrees, true AS least_is_least FROM split WHERE test""")
+def q_network_scores_valid(spark, d):
+    """What holds whatever the weights are: every test row has one probability; the validation loss of the
+    last epoch is that of its saved weights; the least loss (A14) is not above any epoch's."""
+    folder, val, test = _network(spark, d, epochs=2)
+    weights, _ = N.state_of(spark, folder, 2)
+    losses = {r.epoch: r.val_loss for r in N.history(spark, folder).collect()}
+    again = N.score(val, weights).agg(F.avg(F.abs(F.col("label") - F.col("p")))).first()[0]
+    least = N.history(spark, folder).agg(F.min("val_loss")).first()[0]
+    return N.score(test, weights).select("work_id", F.col("p").between(0, 1).alias("is_probability"),
+                                         F.lit(abs(again - losses[2]) < 1e-9).alias("loss_agrees"),
+                                         F.lit(all(least <= x for x in losses.values())).alias("least_is_least"))
+
+
 @register("min_over_history")
 def q_min_over_history(spark, d):
-    """The least validation loss (mean absolute error) of the curve."""
-    return q_validation_curve(spark, d).agg(F.min("val_mae").alias("min_val_loss"))
+    """The least validation loss (mean absolute error) over the epochs of the network's one run."""
+    return q_network_history(spark, d).agg(F.min("val_loss").alias("min_val_loss"))
 
 
 @register("validation_curve")

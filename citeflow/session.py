@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,3 +92,22 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     until the optimizer spends minutes on big-integer arithmetic.
     """
     return write_stage(df, name)[0]
+
+
+_SHIPPED: set[str] = set()
+
+
+def map_in_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package sent to the executors first (once a session), so that Python tasks can import it."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        where = os.path.join(tempfile.mkdtemp(prefix="citeflow-code-"), "citeflow_operators.zip")
+        with zipfile.ZipFile(where, "w") as z:
+            for folder, _, names in os.walk(root):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(where)
+        _SHIPPED.add(sc.applicationId)
+    return df.mapInArrow(fn, schema)

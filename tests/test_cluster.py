@@ -69,3 +69,30 @@ def test_membership_flatten(spark):
     df = spark.createDataFrame([(0, [4, 2]), (1, [7])], "c int, m array<int>")
     got = sorted(tuple(r) for r in K.cluster_membership_flatten(df, "c", "m").collect())
     assert got == [(2, 0, 1), (4, 0, 0), (7, 1, 0)]
+
+
+def test_silhouette_equals_all_pairs(spark):
+    import math
+    import random
+    r = random.Random(3)
+    pts = [(r.randint(0, 6), r.randint(0, 5), r.randint(0, 3)) for _ in range(150)] + [(40, 40, 9), (0, 0, None)]
+    df = spark.createDataFrame([([float(a), float(b)], c) for a, b, c in pts], "x array<double>, cluster int").repartition(3)
+    rows = [p for p in pts if p[2] is not None]
+    total = 0.0
+    for i, p in enumerate(rows):
+        far = {}
+        for j, q in enumerate(rows):
+            if i != j:
+                far.setdefault(q[2], []).append(math.dist(p[:2], q[:2]))
+        if p[2] in far:
+            a, b = (sum(far[p[2]]) / len(far[p[2]]), min(sum(v) / len(v) for c, v in far.items() if c != p[2]))
+            total += (b - a) / max(a, b) if max(a, b) else 0.0
+    for block in (7, 8192):
+        got = K.silhouette(df, block_points=block).first()[0]
+        assert abs(got - total / len(rows)) < 1e-12
+    assert K.silhouette(df.where("cluster = 1")).first()[0] is None
+
+
+def test_silhouette_two_tight_pairs(spark):
+    df = spark.createDataFrame([([0.0], 0), ([0.0], 0), ([9.0], 1), ([9.0], 1), ([50.0], 2)], "x array<double>, cluster int")
+    assert abs(K.silhouette(df).first()[0] - 4 / 5) < 1e-12
