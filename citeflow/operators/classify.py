@@ -18,6 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeflow.operators.cluster import standard_scale, standard_scale_fit
 from citeflow.session import cut_lineage
 
 NULL_CATEGORY = "\u0000null"   # null is a category of its own
@@ -53,6 +54,47 @@ def prepare_categoricals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
+def category_slots(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """M10 for any number of categories: (value, slot) of the distinct values in ascending order, and how many there are.
+
+    Values are put in order by a range shuffle and numbered by their place in a partition plus a prefix sum over partitions;
+    only one count a partition reaches the driver. Null is a category of its own.
+    """
+    values = df.select(F.coalesce(F.col(column).cast("string"), F.lit(NULL_CATEGORY)).alias("value")).distinct()
+    placed = cut_lineage(values.repartitionByRange("value").sortWithinPartitions("value").withColumn("at", F.monotonically_increasing_id()), "categories")
+    counts = sorted((r.part, r.n) for r in placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in counts:
+        before.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, "part long, before long")  # one row a partition
+    inside = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (placed.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(offsets), "part")
+            .select("value", (F.col("before") + inside).alias("slot"))), total
+
+
+def sparse_features(fit: DataFrame, rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, int]:
+    """M11 without hashing: scaled numerics, then one slot for each category that ``fit`` has of every column.
+
+    Returns ``rows`` with ``indices`` and ``values`` (a sparse vector; unseen categories have no entry) in place of the
+    features, and the length of the vectors. Each dictionary is joined to the rows; a category that many rows share repeats on
+    the side that adaptive skew joins split.
+    """
+    stats = standard_scale_fit(fit, numeric)
+    scaled = standard_scale(rows, numeric, "__z", stats)
+    size, slots = len(numeric), []
+    for i, c in enumerate(categorical):
+        known, n = category_slots(fit, c)
+        known = known.select(F.col("value").alias(f"__v{i}"), (F.col("slot") + size).alias(f"__s{i}"))
+        scaled = scaled.withColumn(f"__v{i}", F.coalesce(F.col(c).cast("string"), F.lit(NULL_CATEGORY))).join(known, f"__v{i}", "left").drop(f"__v{i}")
+        slots.append(f"__s{i}")
+        size += n
+    hot = F.filter(F.array(*slots), lambda s: s.isNotNull()) if slots else F.array().cast("array<long>")
+    out = scaled.withColumn("indices", F.concat(F.array(*[F.lit(i).cast("long") for i in range(len(numeric))]).cast("array<long>"), hot))
+    out = out.withColumn("values", F.concat(F.array(*[F.col(f"{c}__z") for c in numeric]).cast("array<double>"), F.transform(hot, lambda s: F.lit(1.0))))
+    return out.drop(*slots, *[f"{c}__z" for c in numeric]), size
+
+
 def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str], hashed: Sequence[str] = (),
                      hash_features: int = 256, rows: int | None = None) -> list:
     """Scaled numerics ++ one-hot categoricals ++ hashed high-cardinality

@@ -307,6 +307,46 @@ def q_one_hot(spark, d):
     return out.select("work_id", *[F.when(hot(c) < 0, -1).otherwise(hot(c)).alias(f"{c}_slot") for c in cols])
 
 
+@register("category_slots", """
+WITH split AS (SELECT o_orderkey, o_custkey, o_orderpriority, CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 20 AS test FROM orders),
+vals AS (SELECT 'title' AS feature, CAST(o_orderkey AS VARCHAR) AS value FROM split WHERE NOT test
+         UNION SELECT 'author', CAST(o_custkey AS VARCHAR) FROM split WHERE NOT test
+         UNION SELECT 'priority', o_orderpriority FROM split WHERE NOT test)
+SELECT feature, value, dense_rank() OVER (PARTITION BY feature ORDER BY value) - 1 AS slot FROM vals""")
+def q_category_slots(spark, d):
+    """The dictionaries of a unique column, an author column and one of few values, fitted on the train split."""
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("work_id"), F.col("o_orderkey").cast("string").alias("title"),
+                                           F.col("o_custkey").cast("string").alias("author"), F.col("o_orderpriority").alias("priority"))
+    train, _test = C.train_test_split(o, "work_id")
+    parts = [C.category_slots(train, c)[0].select(F.lit(c).alias("feature"), "value", "slot") for c in ("title", "author", "priority")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("sparse_features", sql(SQL_WORKS, """
+split AS (SELECT w.work_id, w.title, CAST(w.author AS VARCHAR) AS author, o.o_orderpriority AS priority, CAST(w.cites AS DOUBLE) AS cites, w.avg_per_year,
+                 CAST(('0x' || substr(md5(CAST(w.work_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 20 AS test
+          FROM works w JOIN orders o ON w.work_id = o.o_orderkey),
+fit AS (SELECT * FROM split WHERE NOT test),
+stats AS (SELECT avg(cites) AS m1, stddev_pop(cites) AS s1, avg(avg_per_year) AS m2, stddev_pop(avg_per_year) AS s2 FROM fit),
+t AS (SELECT value, row_number() OVER (ORDER BY value) + 1 AS slot FROM (SELECT DISTINCT title AS value FROM fit)),
+a AS (SELECT value, row_number() OVER (ORDER BY value) + 1 + (SELECT count(*) FROM t) AS slot FROM (SELECT DISTINCT author AS value FROM fit)),
+p AS (SELECT value, row_number() OVER (ORDER BY value) + 1 + (SELECT count(*) FROM t) + (SELECT count(*) FROM a) AS slot
+      FROM (SELECT DISTINCT priority AS value FROM fit))""", body="""
+SELECT work_id, md5(concat_ws(',', CAST(round((cites - m1) / s1 * 10000) AS BIGINT), CAST(round((avg_per_year - m2) / s2 * 10000) AS BIGINT),
+                              t.slot, a.slot, p.slot)) AS features_md5
+FROM split CROSS JOIN stats LEFT JOIN t ON t.value = title LEFT JOIN a ON a.value = author LEFT JOIN p ON p.value = priority"""))
+def q_sparse_features(spark, d):
+    """M11 with every title and author as a category: md5 of the scaled values (four decimals) and the hot slots."""
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("work_id"), F.col("o_orderpriority").alias("priority"))
+    works = B.works_orders(spark, d).withColumn("author", F.col("author").cast("string")).join(o, "work_id")
+    train, _test = C.train_test_split(works, "work_id")
+    numeric_cols = ["cites", "avg_per_year"]
+    rows, _size = C.sparse_features(train, works, numeric_cols, ["title", "author", "priority"])
+    n = len(numeric_cols)
+    shown = F.concat(F.transform(F.slice("values", 1, n), lambda v: F.round(v * 10000).cast("long")), F.expr(f"slice(indices, {n + 1}, size(indices))"))
+    return rows.select("work_id", F.md5(F.array_join(F.transform(shown, lambda v: v.cast("string")), ",")).alias("features_md5"))
+
+
 @register("feature_pipeline")
 def q_feature_pipeline(spark, d):
     from pyspark.ml import Pipeline

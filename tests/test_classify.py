@@ -64,3 +64,24 @@ def test_validation_curve_monotone_objective(spark):
     assert [r.iterations for r in curve] == [2, 6, 12]
     assert all(b <= a + 1e-9 for a, b in zip(objs, objs[1:]))
     assert all(0 <= r.val_mae <= 1 and r.val_logloss > 0 for r in curve)
+
+
+def test_category_slots_are_dense_ranks(spark):
+    rows = [(v,) for v in ["b", "a", None, "é", "b", "", "Z", "a"] * 3 + [f"t{i:03d}" for i in range(200)]]
+    df = spark.createDataFrame(rows, "v string")
+    want = {v: i for i, v in enumerate(sorted({C.NULL_CATEGORY if v is None else v for v, in rows}, key=lambda s: s.encode()))}
+    for parts in (1, 7):
+        slots, n = C.category_slots(df.repartition(parts), "v")
+        assert {r.value: r.slot for r in slots.collect()} == want and n == len(want)
+    none, n = C.category_slots(df.limit(0), "v")
+    assert none.count() == 0 and n == 0
+
+
+def test_sparse_features(spark):
+    fit = spark.createDataFrame([(1, 2.0, "x", "p"), (2, 4.0, "y", None)], "id long, v double, a string, b string")
+    rows = spark.createDataFrame([(3, 3.0, "y", "p"), (4, 5.0, "new", None)], "id long, v double, a string, b string")
+    out, size = C.sparse_features(fit, rows, ["v"], ["a", "b"])
+    got = {r.id: (r.indices, r["values"]) for r in out.collect()}
+    # slots: 0 the number, 1-2 x and y, 3 null (its name begins with the least character), 4 p
+    assert size == 5 and got == {3: ([0, 2, 4], [0.0, 1.0, 1.0]), 4: ([0, 3], [2.0, 1.0])}
+    assert out.columns == ["id", "v", "a", "b", "indices", "values"]
