@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeflow.functions import scalars as S
+from citeflow.session import cut_lineage
 
 # Column layout of the export format.
 RAW_NAMED_COLUMNS = [
@@ -64,32 +65,71 @@ def _reader(spark: SparkSession, glob: str, tolerant: bool, recursive: bool):
     return r
 
 
-def _fields(spark: SparkSession, path: str | Sequence[str], glob: str, encoding: str, tolerant: bool, recursive: bool,
-            multi_line: bool) -> DataFrame:
-    """Every CSV record of the files: file, v (its fields as read), n (fields up to the last one that is set).
+#: One field of a CSV record and the comma after it (a comma is appended to the record); possessive, so linear in the record.
+FIELD = r'("(?:[^"]++|"")*+"[^,]*+|[^,]*+),'
+
+
+def split_record(record: Column) -> Column:
+    """The fields of a CSV record as an array, however many there are: an empty field is null, a quoted empty one ``\'\'``."""
+    raw = F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(FIELD), F.lit(1))
+    plain = lambda x: F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda x: F.when(x == "", F.lit(None)).when(x.startswith('"'), plain(x)).otherwise(x))
 
-    The reader needs a width; it is one more than the most commas in any line (a first, narrow pass), so no field of a
-    record that fits its header is lost.
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """Lines (file, start of their split, at: ascending in a split, line) -> records (file, record): a line that begins inside
+    double quotes belongs to the record before it.
+
+    Any number of tasks reads a file, each a split of it: the parity of the quotes of a split is a sum, the parity before a split is
+    a running sum over one row a split, and inside a split a running sum over its lines. A record that goes on in
+    the next splits is named by the split and number it began with. Only records of several lines are gathered.
     """
-    empty = spark.createDataFrame([], "file string, v array<string>, n int")
+    lines = cut_lineage(lines.withColumn("q", F.length("line") - F.length(F.translate("line", '"', ""))), "lines")
+    earlier = lambda *k: Window.partitionBy(*k).rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "start").agg(F.sum("q").alias("q")).withColumn(
+        "odd", F.coalesce(F.sum("q").over(earlier("file").orderBy("start")), F.lit(0)) % 2).drop("q")
+    inside = lines.join(splits, ["file", "start"]).withColumn(
+        "begins", (F.col("odd") + F.coalesce(F.sum("q").over(earlier("file", "start").orderBy("at")), F.lit(0))) % 2 == 0)
+    upto = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = cut_lineage(inside.withColumn("nr", F.sum(F.col("begins").cast("long")).over(upto)).drop("odd", "q"), "numbered")
+    # lines before the first beginning of a split go on with the last record of the nearest split that has one
+    last = numbered.groupBy("file", "start").agg(F.max("nr").alias("nr"))
+    owner = F.last(F.when(F.col("nr") > 0, F.struct(F.col("start").alias("s"), F.col("nr").alias("r"))), ignorenulls=True)
+    owners = last.select("file", "start", owner.over(earlier("file").orderBy("start")).alias("owner"))
+    named = numbered.join(owners, ["file", "start"]).select(
+        "file", F.when(F.col("nr") > 0, F.col("start")).otherwise(F.col("owner.s")).alias("s"),
+        F.when(F.col("nr") > 0, F.col("nr")).otherwise(F.col("owner.r")).alias("r"), "start", "at", "line", "begins")
+    more = named.where(~F.col("begins")).select("file", "s", "r").distinct()
+    single = named.join(more, ["file", "s", "r"], "left_anti").select("file", F.col("line").alias("record"))
+    several = (named.join(more, ["file", "s", "r"], "left_semi").groupBy("file", "s", "r")
+               .agg(F.array_sort(F.collect_list(F.struct("start", "at", "line"))).alias("l"))
+               .select("file", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("record")))
+    return single.unionByName(several)
+
+
+def _records(spark: SparkSession, path: str | Sequence[str], glob: str, encoding: str, tolerant: bool, recursive: bool,
+             multi_line: bool) -> DataFrame:
+    """Every CSV record of the files: file, v (all its fields). One scan; no schema is as wide as the widest line."""
+    empty = spark.createDataFrame([], "file string, v array<string>")
     paths = _existing(spark, path)
     if not paths:
         return empty
-    commas = F.length("value") - F.length(F.translate("value", ",", ""))
     try:
-        most = _reader(spark, glob, tolerant, recursive).text(paths).agg(F.max(commas)).first()[0]
+        text = _reader(spark, glob, tolerant, recursive).text(paths)
     except AnalysisException:  # no file matches
         return empty
-    if most is None:
-        return empty
-    names = [f"_c{i}" for i in range(most + 2)]
-    wide = (_reader(spark, glob, tolerant, recursive).option("header", False).option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").option("encoding", encoding).option("multiLine", multi_line)
-            .option("maxColumns", len(names) + 1).option("maxCharsPerColumn", -1)
-            .schema(", ".join(f"{n} string" for n in names)).csv(paths))
-    v = F.array(F.regexp_replace(names[0], "^\ufeff", ""), *[F.col(n) for n in names[1:]])
+    decoded = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                        F.monotonically_increasing_id().alias("at"), F.regexp_replace(decoded, "^\ufeff", "").alias("line"))
+    whole = whole_records(lines) if multi_line else lines.select("file", F.col("line").alias("record"))
+    return whole.select("file", split_record(F.col("record")).alias("v"))
+
+
+def _fields(spark: SparkSession, path: str | Sequence[str], glob: str, encoding: str, tolerant: bool, recursive: bool,
+            multi_line: bool) -> DataFrame:
+    """``_records`` with n, the number of fields up to the last one that is set."""
     n = F.coalesce(F.array_max(F.transform("v", lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
-    return wide.select(F.col("_metadata.file_path").alias("file"), v.alias("v")).withColumn("n", n)
+    return _records(spark, path, glob, encoding, tolerant, recursive, multi_line).withColumn("n", n)
 
 
 def _kinds(fields: DataFrame, header_fields: Sequence[str]) -> DataFrame:
@@ -97,9 +137,9 @@ def _kinds(fields: DataFrame, header_fields: Sequence[str]) -> DataFrame:
     blank = F.size(F.filter("v", lambda x: F.coalesce(F.trim(x), F.lit("")) != "")) == 0
     header = F.lit(True)
     for i, h in enumerate(header_fields):
-        header = header & F.col("v")[i].eqNullSafe(F.lit(h))
+        header = header & F.get("v", F.lit(i)).eqNullSafe(F.lit(h))
     said = F.array_join(F.slice("v", 1, F.greatest("n", F.lit(1))), ",")
-    preamble = (F.col("n") <= 8) & (said.endswith(" (Author)") | F.col("v")[0].startswith("Timespan:"))
+    preamble = (F.col("n") <= 8) & (said.endswith(" (Author)") | F.get("v", F.lit(0)).startswith("Timespan:"))
     kind = F.when(blank, "blank").when(header, "header").when(preamble, "preamble").otherwise("row")
     marked = fields.withColumn("kind", kind)
     headers = (marked.where("kind = 'header'").groupBy("file")
@@ -117,7 +157,7 @@ def scan_export(spark: SparkSession, path: str | Sequence[str], glob: str = "*.t
     rows = _kinds(_fields(spark, path, glob, encoding, tolerant, recursive, multi_line), header_fields)
     rows = rows.where((F.col("kind") == "row") & F.col("h").isNotNull() & (F.col("n") <= F.size("h")))
     return rows.select(author_from_file(F.col("file")).alias("author"), "file",
-                       F.map_from_arrays("h", F.slice("v", 1, F.size("h"))).alias("rec"))
+                       F.map_from_arrays("h", F.slice(F.concat("v", F.array_repeat(F.lit(None).cast("string"), F.greatest(F.size("h") - F.size("v"), F.lit(0)))), 1, F.size("h"))).alias("rec"))
 
 
 def rejected_rows(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt", encoding: str = "UTF-8",
@@ -125,7 +165,7 @@ def rejected_rows(spark: SparkSession, path: str | Sequence[str], glob: str = "*
     """S8's rejected rows: records longer than their file's header, and all records of files without one."""
     rows = _kinds(_fields(spark, path, glob, encoding, True, recursive, True), header_fields)
     bad = (F.col("kind") == "row") & (F.col("h").isNull() | (F.col("n") > F.size("h")))
-    return rows.where(bad).select("file", author_from_file(F.col("file")).alias("author"), F.col("v")[0].alias("first_field"))
+    return rows.where(bad).select("file", author_from_file(F.col("file")).alias("author"), F.get("v", F.lit(0)).alias("first_field"))
 
 
 def _works(records: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -220,29 +260,31 @@ def audit_lines(lines: DataFrame, file_col: str = "file", fields_col: str = "fie
     return per.select(F.col(file_col).alias("file"), bad.alias("bad"))
 
 
-def list_files(spark: SparkSession, path: str, glob: str = "*.txt", recursive: bool = False) -> DataFrame:
-    """(file) of every file whose name matches ``glob``, empty ones included: Spark's own listing, in one call."""
-    if not _existing(spark, path):
+def list_files(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt", recursive: bool = False) -> DataFrame:
+    """(file) of every file whose name matches ``glob``, empty ones included: Spark's own listing, in one call. (A scan,
+    also a ``binaryFile`` one, skips files without bytes, so it can not list them.)"""
+    paths = _existing(spark, path)
+    if not paths:
         return spark.createDataFrame([], "file string")
     try:
-        found = _reader(spark, glob, True, recursive).text(path).inputFiles()
+        found = _reader(spark, glob, True, recursive).text(paths).inputFiles()
     except AnalysisException:
         found = []
     return spark.createDataFrame([(f,) for f in found], "file string")
 
 
-def file_audit(spark: SparkSession, path: str, glob: str = "*.txt", header_first: str = "Title", recursive: bool = False) -> DataFrame:
-    """S6 on a folder: (file, bad). Empty files and files without a header (a line whose first field is exactly
-    ``header_first``) are bad, as are files with a line of more fields than their header."""
+def file_audit(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt", header_first: str = "Title", recursive: bool = False,
+               encoding: str = "UTF-8") -> DataFrame:
+    """S6 on a folder: (file, bad). Empty files and files without a header (a record whose first field is exactly
+    ``header_first``) are bad, as are files with a record of more fields than their header. Records, not lines, are counted: a
+    line break inside quotes is part of its record."""
     files = list_files(spark, path, glob, recursive)
     if files.isEmpty():
         return files.withColumn("bad", F.lit(True))
-    txt = (_reader(spark, glob, True, recursive).text(path)
-           .select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
-           .where(F.trim("line") != ""))
-    first = F.col("line").rlike(f'^("{header_first}"|{header_first})(,|$)')
-    lines = txt.select("file", count_fields(F.col("line")).alias("fields"), first.alias("is_header"))
-    per = audit_lines(lines, "file", "fields", header_col="is_header")
+    found = _records(spark, path, glob, encoding, True, recursive, True)
+    found = found.where(F.size(F.filter("v", lambda x: F.coalesce(F.trim(x), F.lit("")) != "")) > 0)
+    sized = found.select("file", F.size("v").alias("fields"), F.get("v", F.lit(0)).eqNullSafe(F.lit(header_first)).alias("is_header"))
+    per = audit_lines(sized, "file", "fields", header_col="is_header")
     # both sides are URL-encoded paths; they may differ in the scheme prefix
     key = F.regexp_replace(F.col("file"), "^file:/*", "/")
     return (files.withColumn("_k", key).join(per.withColumn("_k", key).drop("file"), "_k", "left")

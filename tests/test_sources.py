@@ -114,3 +114,41 @@ def test_writers_split_large_authors(spark, tmp_dir):
     got = sorted((r.author, r.title, float(r.cells["2020"])) for r in X.scan_curated(spark, cur_dir, recursive=True).collect())
     assert got == sorted(rows)
     assert all(not r.bad for r in X.file_audit(spark, cur_dir, recursive=True).collect())
+
+
+def test_records_span_lines_and_splits(spark, tmp_dir):
+    """Quoted line breaks, doubled quotes and a junk line of many commas; the file is read in splits of a few bytes."""
+    import csv
+    import io
+    import random
+    r = random.Random(1)
+    rows = [["Title", "Authors", "2020"]]
+    for i in range(120):
+        rows.append([r.choice(['plain', 'one, two,\nthree, four, five', 'say "hi"', '"', 'a\n\n\nb\n"c"', '', f't{i}']) + str(i), r.choice(["A; B", ""]), str(i % 5)])
+    rows.insert(50, [""] * 400 + ["x"])
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(rows)
+    with open(os.path.join(tmp_dir, "one.txt"), "w", encoding="utf-8") as f:
+        f.write("﻿" + out.getvalue())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("64", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = [[x or "" for x in v.v] for v in X._records(spark, tmp_dir, "*.txt", "UTF-8", True, False, True).collect()]
+            assert sorted(got) == sorted(rows)
+            scan = X.scan_export(spark, tmp_dir).collect()
+            assert len(scan) == 120 and all(set(x.rec) == {"Title", "Authors", "2020"} for x in scan)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_audit_counts_records(spark, tmp_dir):
+    files = {"breaks.txt": 'Title,Authors\n"one, two,\nthree, four, five",A\n', "long.txt": 'Title,Authors\n"a\nb",A,\n',
+             "empty.txt": "", "año 1+2.txt": "Title,Authors\nx,A\n"}
+    for name, text in files.items():
+        with open(os.path.join(tmp_dir, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    got = sorted((os.path.basename(r.file), r.bad) for r in X.file_audit(spark, tmp_dir).collect())
+    assert not dict(got)["breaks.txt"] and dict(got)["long.txt"] and dict(got)["empty.txt"] and sorted(b for _, b in got) == [False, False, True, True]
