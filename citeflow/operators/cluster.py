@@ -183,6 +183,67 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 4, seed: int = 42, max_i
     return model, model.transform(feats).drop("_features")
 
 
+def _literal(centres: Sequence[Sequence[float]]) -> Column:
+    return F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+
+
+def _nearest(x: Column, centres: Sequence[Sequence[float]]) -> Column:
+    """struct(d, i) of the nearest centre (ties: the first). The centres are one literal, so steps share their compiled code."""
+    apart = lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    return F.array_min(F.transform(_literal(centres), lambda c, i: F.struct(apart(c).alias("d"), i.alias("i"))))
+
+
+def farthest_first(df: DataFrame, cols: Sequence[str], k: int, id_col: str, seed: int = 42) -> list[list[float]]:
+    """k seeded first centres: the row with the least md5(id || seed), then each time the row farthest from all centres so far
+    (ties by id). Every pick is a top-1 over all rows; a smaller k has a prefix of the picks."""
+    name = F.col(id_col).cast("string")
+    rows = as_array(df, cols, "__x").select("__x", name.alias("__id"))
+    first = rows.orderBy(F.md5(F.concat("__id", F.lit(str(seed)))), "__id").first()
+    out = [list(first["__x"])] if first else []
+    while out and len(out) < k:
+        far = F.round(_nearest(F.col("__x"), out)["d"], 9)
+        out.append(list(rows.orderBy(far.desc(), "__id").first()["__x"]))
+    return out
+
+
+def lloyd(df: DataFrame, cols: Sequence[str], starts: dict[int, Sequence[Sequence[float]]], digits: int = 9) -> dict[int, tuple[list[list[float]], float]]:
+    """M2, M3: k-means steps from given first centres, for all ``starts`` (name -> centres) at once -> name -> (centres, inertia).
+
+    Rows are first counted by distinct point. A step is one aggregate that assigns every point under every open name and
+    sums all clusters (as many rows to the driver as there are centres). A name is done when its centres, rounded, stay; an
+    empty cluster keeps its centre. Inertia falls with every step, so the steps end.
+    """
+    points = cut_lineage(as_array(df, cols, "x").groupBy("x").agg(F.count("*").alias("n")), "points")
+    now = {name: [list(c) for c in centres] for name, centres in starts.items()}
+    done: dict[int, tuple[list[list[float]], float]] = {}
+    while now:
+        each = F.array(*[F.struct(F.lit(name).alias("name"), _nearest(F.col("x"), centres).alias("a")) for name, centres in now.items()])
+        rows = (points.select("x", "n", F.explode(each).alias("e")).groupBy("e.name", "e.a.i")
+                .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("e.a.d")).alias("d"), *[F.sum(F.col("n") * F.col("x")[j]).alias(f"s{j}") for j in range(len(cols))]).collect())
+        for name, centres in list(now.items()):
+            mine = {r["i"]: r for r in rows if r["name"] == name}
+            new = [[mine[i][f"s{j}"] / mine[i]["n"] for j in range(len(cols))] if i in mine else c for i, c in enumerate(centres)]
+            if [[round(v, digits) for v in c] for c in new] == [[round(v, digits) for v in c] for c in centres]:
+                done[name] = centres, float(sum(r["d"] for r in mine.values()))
+                del now[name]
+            else:
+                now[name] = new
+    return done
+
+
+def kmeans_from(df: DataFrame, cols: Sequence[str], k: int = 4, id_col: str = "author", seed: int = 42, label: str = "cluster") -> DataFrame:
+    """M2 from seeded farthest-first centres: ``df`` with its cluster (numbered in the order of the first centres)."""
+    centres = lloyd(df, cols, {k: farthest_first(df, cols, k, id_col, seed)})[k][0]
+    return as_array(df, cols, "__x").withColumn(label, _nearest(F.col("__x"), centres)["i"]).drop("__x")
+
+
+def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 11), id_col: str = "author", seed: int = 42) -> DataFrame:
+    """M3: inertia per k, all k in the same steps."""
+    picks = farthest_first(df, cols, max(ks), id_col, seed)
+    found = lloyd(df, cols, {k: picks[:k] for k in ks}) if picks else {}
+    return df.sparkSession.createDataFrame([(int(k), found[k][1] if k in found else None) for k in ks], "k int, inertia double")
+
+
 def inertia_k1(df: DataFrame, cols: Sequence[str]) -> float:
     """k = 1 inertia in closed form: sum over columns of n * var_pop."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()

@@ -54,18 +54,71 @@ def q_kmeans_inertia_k1(spark, d):
     return z.sparkSession.range(1).select(F.round(F.lit(v), 4).alias("inertia"))
 
 
-@register("kmeans_authors")
+SQL_SCALED = """
+scaled AS (SELECT author AS id, (publications - avg(publications) OVER ()) / stddev_pop(publications) OVER () AS x,
+                  (total_cites - avg(total_cites) OVER ()) / stddev_pop(total_cites) OVER () AS y FROM feat)"""
+SQL_COMBINED = """
+patents AS (SELECT upper('u' || CAST(user_id AS VARCHAR)) AS inventor, event_id AS patent FROM events WHERE event_type = 'purchase'),
+joined AS (SELECT coalesce(w.author, p.inventor) AS author, coalesce(w.publications, 0) AS publications, coalesce(p.patents, 0) AS patents
+           FROM (SELECT 'U' || CAST(author AS VARCHAR) AS author, count(*) AS publications FROM works GROUP BY 1) w
+           FULL OUTER JOIN (SELECT inventor, count(DISTINCT patent) AS patents FROM patents GROUP BY inventor) p ON w.author = p.inventor),
+scaled AS (SELECT author AS id, (publications - avg(publications) OVER ()) / stddev_pop(publications) OVER () AS x,
+                  (patents - avg(patents) OVER ()) / stddev_pop(patents) OVER () AS y FROM joined)"""
+
+
+def sql_first(k):
+    """Farthest-first centres of ``scaled``: f1 ... fk."""
+    out = [f"f1 AS (SELECT x, y FROM scaled ORDER BY md5(CAST(id AS VARCHAR) || '{SEED}'), CAST(id AS VARCHAR) LIMIT 1)"]
+    for j in range(2, k + 1):
+        far = ", ".join(f"(s.x - f{i}.x) ^ 2 + (s.y - f{i}.y) ^ 2" for i in range(1, j))
+        out.append(f"f{j} AS (SELECT s.x, s.y FROM scaled s, {', '.join(f'f{i}' for i in range(1, j))} "
+                   f"ORDER BY round(least({far}, 1e300), 9) DESC, CAST(s.id AS VARCHAR) LIMIT 1)")
+    return ",\n".join(out)
+
+
+def sql_steps(k):
+    """k-means steps from f1 ... fk until the centres stay: cs{k} (one list of centres), lab{k} (id, x, y, cluster, d)."""
+    near = lambda cs: f"(SELECT arg_min(j, (s.x - {cs}[j + 1][1]) ^ 2 + (s.y - {cs}[j + 1][2]) ^ 2) FROM range({k}) t(j))"
+    rounded = lambda c: f"list_transform({c}, lambda v: [round(v[1], 9), round(v[2], 9)])"
+    return f"""
+rec{k} AS (
+  SELECT 0 AS step, list([x, y] ORDER BY c) AS cs FROM ({' UNION ALL '.join(f'SELECT {i} AS c, x, y FROM f{i + 1}' for i in range(k))})
+  UNION ALL
+  SELECT step + 1, new FROM (
+    SELECT step, cs, list([nx, ny] ORDER BY c) AS new
+    FROM (SELECT step, cs, c, avg(x) AS nx, avg(y) AS ny FROM (SELECT r.step, r.cs, s.x, s.y, {near('r.cs')} AS c FROM rec{k} r, scaled s) GROUP BY step, cs, c)
+    GROUP BY step, cs)
+  WHERE {rounded('new')} <> {rounded('cs')}),
+cs{k} AS (SELECT cs FROM rec{k} ORDER BY step DESC LIMIT 1),
+lab{k} AS (SELECT id, x, y, c AS cluster, (x - cs[c + 1][1]) ^ 2 + (y - cs[c + 1][2]) ^ 2 AS d
+           FROM (SELECT s.id, s.x, s.y, cs, {near('cs')} AS c FROM scaled s, cs{k}))"""
+
+
+def sql_kmeans(scaled, body, ks=(N_CLUSTERS,)):
+    parts = [SQL_WORKS, *([SQL_FEAT] if scaled is SQL_SCALED else []), scaled, sql_first(max(ks)), *(sql_steps(k) for k in ks)]
+    return sql(*parts, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SELECT_CLUSTERS = f"SELECT id AS author, CAST(cluster AS INTEGER) AS cluster FROM lab{N_CLUSTERS}"
+
+
+@register("kmeans_authors", sql_kmeans(SQL_SCALED, SELECT_CLUSTERS))
 def q_kmeans_authors(spark, d):
-    z = scaled_features(spark, d)
-    _model, lab = K.kmeans(z, ["publications_z", "total_cites_z"], N_CLUSTERS, SEED)
+    return K.kmeans_from(scaled_features(spark, d), ["publications_z", "total_cites_z"], N_CLUSTERS, "author", SEED).select("author", "cluster")
+
+
+@register("kmeans_ml_authors")
+def q_kmeans_ml_authors(spark, d):
+    """M2 by Spark ML (k-means|| first centres)."""
+    _model, lab = K.kmeans(scaled_features(spark, d), ["publications_z", "total_cites_z"], N_CLUSTERS, SEED)
     return lab.select("author", "cluster")
 
 
-@register("kmeans_elbow")
+@register("kmeans_elbow", sql_kmeans(SQL_COMBINED, " UNION ALL ".join(f"SELECT {k} AS k, round(sum(d), 4) AS inertia FROM lab{k}" for k in range(1, 11)), range(1, 11)))
 def q_kmeans_elbow(spark, d):
-    """M3 on the page's input: scaled (publications, patents) per author."""
-    z = combined_features(spark, d)
-    return K.kmeans_elbow(z, ["publications_z", "patents_z"], range(1, 11), SEED)
+    """M3 on the page's input, scaled (publications, patents) per author: all k in the same steps."""
+    found = K.elbow(combined_features(spark, d), ["publications_z", "patents_z"], range(1, 11), "author", SEED)
+    return found.select("k", F.round("inertia", 4).alias("inertia"))
 
 
 def combined_features(spark, d):
@@ -97,11 +150,10 @@ def q_standard_scale_combined(spark, d):
                     F.round("patents_z", 6).alias("patents_z"))
 
 
-@register("kmeans_combined")
+@register("kmeans_combined", sql_kmeans(SQL_COMBINED, SELECT_CLUSTERS))
 def q_kmeans_combined(spark, d):
     """M2 on the second data set of the page: (publications, patents)."""
-    _model, lab = K.kmeans(combined_features(spark, d), ["publications_z", "patents_z"], N_CLUSTERS, SEED)
-    return lab.select("author", "cluster")
+    return K.kmeans_from(combined_features(spark, d), ["publications_z", "patents_z"], N_CLUSTERS, "author", SEED).select("author", "cluster")
 
 
 @register("kmedoids_combined")
@@ -115,12 +167,6 @@ def q_kmedoids_combined(spark, d):
     return lab.select("author", "cluster")
 
 
-@register("silhouette_combined")
-def q_silhouette_combined(spark, d):
-    _model, lab = K.kmeans(combined_features(spark, d), ["publications_z", "patents_z"], N_CLUSTERS, SEED)
-    return K.silhouette_sq(K.as_array(lab, ["publications_z", "patents_z"]), "x", "cluster")
-
-
 SQL_CENTRES = """pts AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 dims AS (SELECT label, i, avg(x[i]) AS m FROM pts, range(1, 65) t(i) GROUP BY label, i),
 cent AS (SELECT label, list(m ORDER BY i) AS c FROM dims GROUP BY label)"""
@@ -186,11 +232,32 @@ def q_silhouette_bands(spark, d):
     return K.silhouette(f, "x", "label").select(F.round("silhouette", 6).alias("silhouette"))
 
 
-@register("silhouette_kmeans")
+SQL_PTS = f"pts AS (SELECT id, cluster AS label, [x, y] AS x FROM lab{N_CLUSTERS})"
+SQUARED = (SQL_SILHOUETTE.replace("list_distance(a.x, b.x)", "list_distance(a.x, b.x) ^ 2"), SELECT_SILHOUETTE.replace("silhouette", "silhouette_sq"))
+
+
+def sql_scored(scaled, silhouette=SQL_SILHOUETTE, body=SELECT_SILHOUETTE):
+    """The silhouette of the k-means clusters of ``scaled``, from all pairs."""
+    parts = [SQL_WORKS, *([SQL_FEAT] if scaled is SQL_SCALED else []), scaled, sql_first(N_CLUSTERS), sql_steps(N_CLUSTERS), SQL_PTS, silhouette]
+    return sql(*parts, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _clustered(spark, d, combined=False):
+    """The page's k-means clusters with their points as ``x``."""
+    z, cols = (combined_features(spark, d), ["publications_z", "patents_z"]) if combined else (scaled_features(spark, d), ["publications_z", "total_cites_z"])
+    return K.as_array(K.kmeans_from(z, cols, N_CLUSTERS, "author", SEED), cols)
+
+
+@register("silhouette_kmeans", sql_scored(SQL_SCALED))
 def q_silhouette_kmeans(spark, d):
     """M2 + M5 (Euclidean): the page's number for k-means on scaled author features."""
-    _m, lab = K.kmeans(scaled_features(spark, d), ["publications_z", "total_cites_z"], N_CLUSTERS, SEED)
-    return K.silhouette(K.as_array(lab, ["publications_z", "total_cites_z"]), "x", "cluster")
+    return K.silhouette(_clustered(spark, d), "x", "cluster").select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@register("silhouette_combined", sql_scored(SQL_COMBINED, *SQUARED))
+def q_silhouette_combined(spark, d):
+    """M2 + M5 (squared) on (publications, patents)."""
+    return K.silhouette_sq(_clustered(spark, d, combined=True), "x", "cluster").select(F.round("silhouette_sq", 6).alias("silhouette_sq"))
 
 
 @register("silhouette_kmedoids")
@@ -201,12 +268,10 @@ def q_silhouette_kmedoids(spark, d):
     return K.silhouette(lab, "x", "cluster")
 
 
-@register("silhouette_authors")
+@register("silhouette_authors", sql_scored(SQL_SCALED, *SQUARED))
 def q_silhouette_authors(spark, d):
-    """M2 + M5: silhouette of the page's k-means on scaled author features."""
-    z = scaled_features(spark, d)
-    _m, lab = K.kmeans(z, ["publications_z", "total_cites_z"], N_CLUSTERS, SEED)
-    return K.silhouette_sq(K.as_array(lab, ["publications_z", "total_cites_z"]), "x", "cluster")
+    """M2 + M5 (squared): silhouette of the page's k-means on scaled author features."""
+    return K.silhouette_sq(_clustered(spark, d), "x", "cluster").select(F.round("silhouette_sq", 6).alias("silhouette_sq"))
 
 
 @register("cluster_membership_flatten", """

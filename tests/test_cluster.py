@@ -96,3 +96,25 @@ def test_silhouette_equals_all_pairs(spark):
 def test_silhouette_two_tight_pairs(spark):
     df = spark.createDataFrame([([0.0], 0), ([0.0], 0), ([9.0], 1), ([9.0], 1), ([50.0], 2)], "x array<double>, cluster int")
     assert abs(K.silhouette(df).first()[0] - 4 / 5) < 1e-12
+
+
+def test_kmeans_from_farthest_first_centres(spark):
+    r = np.random.default_rng(4)
+    pts = np.round(np.concatenate([r.normal(c, 1.0, (60, 2)) for c in ((0, 0), (8, 0), (0, 9), (9, 9))]), 1)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "id long, a double, b double").repartition(3)
+    first = K.farthest_first(df, ["a", "b"], 4, "id")
+    assert K.farthest_first(df, ["a", "b"], 2, "id") == first[:2]
+    lab = {r.id: r.cluster for r in K.kmeans_from(df, ["a", "b"], 4, "id").collect()}
+    centres = np.array(first)
+    for _ in range(100):
+        own = ((pts[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        new = np.array([pts[own == j].mean(0) for j in range(4)])
+        if np.allclose(new, centres, atol=1e-12):
+            break
+        centres = new
+    assert [lab[i] for i in range(len(pts))] == own.tolist()
+    curve = {r.k: r.inertia for r in K.elbow(df, ["a", "b"], range(1, 7), "id").collect()}
+    alone = K.lloyd(df, ["a", "b"], {4: first})[4][1]
+    assert abs(curve[4] - alone) < 1e-9 and abs(curve[1] - ((pts - pts.mean(0)) ** 2).sum()) < 1e-6
+    assert all(curve[k] > curve[k + 1] for k in range(1, 4))
+    assert K.farthest_first(df.limit(0), ["a", "b"], 3, "id") == []
