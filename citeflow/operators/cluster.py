@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from citeflow.session import cut_lineage, map_in_arrow
 
 
+#: Decimals to which k-medoids compares distances.
+TIE_DIGITS = 9
+
 # -- M1 ----------------------------------------------------------------------------------
 
 
@@ -66,11 +69,13 @@ def _sqdist(x: Column, centre: Sequence[float]) -> Column:
 
 
 def assign_nearest(df: DataFrame, centres: Sequence[Sequence[float]], x: str = "x",
-                   label: str = "cluster", dist: str = "sqdist", ids: Sequence | None = None) -> DataFrame:
+                   label: str = "cluster", dist: str = "sqdist", ids: Sequence | None = None, digits: int | None = None) -> DataFrame:
     """M4: nearest centre per row (ties: smallest centre id). The k centres
-    are literals of the expression — bounded by k x d, no join."""
+    are literals of the expression — bounded by k x d, no join. With ``digits`` distances are compared rounded, so that points
+    midway between centres are ties whatever the last bits say."""
+    shown = (lambda v: F.round(v, digits)) if digits is not None else (lambda v: v)
     ids = list(ids) if ids is not None else list(range(len(centres)))
-    cands = F.array(*[F.struct(_sqdist(F.col(x), c).alias("d"), F.lit(i).alias("i"))
+    cands = F.array(*[F.struct(shown(_sqdist(F.col(x), c)).alias("d"), F.lit(i).alias("i"))
                       for i, c in zip(ids, centres)])
     best = F.array_min(cands)
     return df.withColumn(label, best.getField("i")).withColumn(dist, best.getField("d"))
@@ -292,12 +297,12 @@ def kmedoids(df: DataFrame, k: int, id_col: str = "id", x: str = "x", seed: int
     meds = list(medoids) if medoids is not None else initial_medoids(pts, k, id_col, seed)
     for _ in range(max_iter):
         coords = medoid_coords(pts, meds, id_col, x)
-        lab = assign_nearest(pts, coords, x)
+        lab = assign_nearest(pts, coords, x, digits=TIE_DIGITS)
         cents = dict(centres_from_labels(lab, x))
         # member nearest its centroid, ties by id: an aggregate, so it combines map-side
         lab2 = lab.withColumn("_cd", F.lit(None).cast("double"))
         for c, mu in cents.items():
-            lab2 = lab2.withColumn("_cd", F.when(F.col("cluster") == c, _sqdist(F.col(x), mu)).otherwise(F.col("_cd")))
+            lab2 = lab2.withColumn("_cd", F.when(F.col("cluster") == c, F.round(_sqdist(F.col(x), mu), TIE_DIGITS)).otherwise(F.col("_cd")))
         best = (lab2.groupBy("cluster").agg(F.min(F.struct("_cd", id_col)).alias("m"))
                 .select("cluster", F.col(f"m.{id_col}").alias("mid")).collect())
         new = list(meds)
@@ -310,7 +315,7 @@ def kmedoids(df: DataFrame, k: int, id_col: str = "id", x: str = "x", seed: int
         pts.unpersist()
         raise RuntimeError(f"k-medoids has not converged after {max_iter} steps")
     coords = medoid_coords(pts, meds, id_col, x)
-    out = assign_nearest(df, coords, x)
+    out = assign_nearest(df, coords, x, digits=TIE_DIGITS)
     pts.unpersist()
     return meds, out
 

@@ -156,7 +156,37 @@ def q_kmeans_combined(spark, d):
     return K.kmeans_from(combined_features(spark, d), ["publications_z", "patents_z"], N_CLUSTERS, "author", SEED).select("author", "cluster")
 
 
-@register("kmedoids_combined")
+def sql_medoids(k, first):
+    """k-medoids steps on ``scaled`` from the ids of ``first`` (rank, id) until the medoids stay: med (id, cluster)."""
+    near = lambda ms: f"(SELECT arg_min(j, [round((s.x - {ms}[j + 1].x) ^ 2 + (s.y - {ms}[j + 1].y) ^ 2, 9), j]) FROM range({k}) t(j))"
+    point = "struct_pack(id := id, x := x, y := y)"
+    ids = lambda ms: f"list_transform({ms}, lambda v: v.id)"
+    return f"""
+first AS ({first}),
+recm AS (
+  SELECT 0 AS step, list({point} ORDER BY rank) AS ms FROM first JOIN scaled USING (id)
+  UNION ALL
+  SELECT step + 1, new FROM (
+    SELECT step, ms, list_transform(range({k}), lambda j: coalesce(list_filter(list(struct_pack(c := c, p := {point})), lambda b: b.c = j)[1].p, ms[j + 1])) AS new FROM (
+      SELECT *, row_number() OVER (PARTITION BY c ORDER BY cd, id) AS place FROM (
+        SELECT *, round((x - avg(x) OVER (PARTITION BY c)) ^ 2 + (y - avg(y) OVER (PARTITION BY c)) ^ 2, 9) AS cd
+        FROM (SELECT r.step, r.ms, s.id, s.x, s.y, {near('r.ms')} AS c FROM recm r, scaled s)))
+    WHERE place = 1 GROUP BY step, ms)
+  WHERE {ids('new')} <> {ids('ms')}),
+med AS (SELECT s.id, {near('ms')} AS cluster FROM scaled s, (SELECT ms FROM recm ORDER BY step DESC LIMIT 1))"""
+
+
+SELECT_MEDOIDS = "SELECT id AS author, CAST(cluster AS INTEGER) AS cluster FROM med"
+FIRST_MEDOIDS = f"""SELECT row_number() OVER (ORDER BY md5(CAST(o_custkey AS VARCHAR) || '{SEED}'), o_custkey) AS rank, o_custkey AS id
+  FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY rank LIMIT {N_CLUSTERS}"""
+
+
+def _recursive(text):
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("kmedoids_combined", _recursive(sql(SQL_WORKS, SQL_COMBINED, sql_medoids(
+    N_CLUSTERS, f"SELECT rank, 'U' || CAST(id AS VARCHAR) AS id FROM ({FIRST_MEDOIDS})"), body=SELECT_MEDOIDS)))
 def q_kmedoids_combined(spark, d):
     """M7 on (publications, patents), seeded with the *same* authors as the
     first data set's medoids, as the page reuses its initial indices."""
@@ -260,12 +290,14 @@ def q_silhouette_combined(spark, d):
     return K.silhouette_sq(_clustered(spark, d, combined=True), "x", "cluster").select(F.round("silhouette_sq", 6).alias("silhouette_sq"))
 
 
-@register("silhouette_kmedoids")
+@register("silhouette_kmedoids", _recursive(sql(SQL_WORKS, SQL_FEAT, SQL_SCALED, sql_medoids(N_CLUSTERS, FIRST_MEDOIDS),
+                                                "pts AS (SELECT id, cluster AS label, [x, y] AS x FROM med JOIN scaled USING (id))",
+                                                SQL_SILHOUETTE, body=SELECT_SILHOUETTE)))
 def q_silhouette_kmedoids(spark, d):
     """M7 + M5 (Euclidean): the page's number for k-medoids on scaled author features."""
     z = K.as_array(scaled_features(spark, d), ["publications_z", "total_cites_z"])
     _meds, lab = K.kmedoids(z, N_CLUSTERS, "author", "x", SEED)
-    return K.silhouette(lab, "x", "cluster")
+    return K.silhouette(lab, "x", "cluster").select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @register("silhouette_authors", sql_scored(SQL_SCALED, *SQUARED))
@@ -293,7 +325,7 @@ def q_medoid_coords(spark, d):
                          "vec_id")
 
 
-@register("kmedoids_authors")
+@register("kmedoids_authors", _recursive(sql(SQL_WORKS, SQL_FEAT, SQL_SCALED, sql_medoids(N_CLUSTERS, FIRST_MEDOIDS), body=SELECT_MEDOIDS)))
 def q_kmedoids_authors(spark, d):
     z = K.as_array(scaled_features(spark, d), ["publications_z", "total_cites_z"])
     _meds, lab = K.kmedoids(z, N_CLUSTERS, "author", "x", SEED)
