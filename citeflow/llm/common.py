@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -61,15 +62,36 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Spark's bound on the bytes of an Arrow batch.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system (Arrow's pool, and the C library's where it can)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema, keeps_table: bool = False) -> DataFrame:
     """``mapInArrow``. Python workers are reused: unless the tasks use a table shared by a worker's tasks (``keeps_table``),
-    they first let go of the one that an earlier stage may have left in their worker."""
-    ship_code(df.sparkSession)
+    they first let go of the one that an earlier stage may have left in their worker. When a task ends its worker gives
+    freed memory back to the system, so that idle workers of a long pipeline do not hold what their last task used. Batches
+    are bounded in bytes, unless the session already says how."""
+    spark = df.sparkSession
+    ship_code(spark)
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(STEP_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps_table:
             release()
-        yield from fn(batches)
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
