@@ -247,11 +247,12 @@ def patents_per_period(patents: DataFrame, date_col: str = "filing_date", unit:
 # -- L: top-k, sorts, distinct --------------------------------------------------------
 
 
-def topk_authors(counts: DataFrame, k: int, author_col: str = "author", n_col: str = "publications") -> DataFrame:
+def topk_authors(counts: DataFrame, k: int, author_col: str = "author", n_col: str = "publications", tie_col: str | None = None) -> DataFrame:
     """L1: k largest counts; ties by author ascending (the order pandas keeps
-    after a group-by). ``orderBy().limit()`` plans as TakeOrderedAndProject:
+    after a group-by), or by ``tie_col`` (a first-seen place, the order pandas keeps
+    when it counts values). ``orderBy().limit()`` plans as TakeOrderedAndProject:
     each task keeps k rows, no global sort."""
-    return counts.orderBy(F.col(n_col).desc(), F.col(author_col).asc()).limit(k)
+    return counts.orderBy(F.col(n_col).desc(), F.col(tie_col or author_col).asc()).limit(k)
 
 
 def semi_join_topk(works: DataFrame, top: DataFrame, author_col: str = "author") -> DataFrame:
@@ -279,8 +280,23 @@ def distinct_sorted(df: DataFrame, col: str = "author") -> DataFrame:
     return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
 
 
+def input_order(scan: DataFrame, col: str = "input_row") -> DataFrame:
+    """A scan of files with the place of each row in the input, from 0: files by name, rows as they stand in them.
+
+    ``scan`` reads files and nothing else (a filter before it would change the numbers). The rows of a split are numbered where they are
+    read; the rows before a split are a running sum over one row a split, whatever the splits and the tasks are. Joined back by split,
+    so no row is sorted or shuffled for its number (the counts are one row a split; Spark broadcasts them if its size check allows it).
+    """
+    at = scan.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"),
+                     F.monotonically_increasing_id().alias("__at"))
+    splits = at.groupBy("__file", "__start").agg(F.min("__at").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (at.join(splits.select("__file", "__start", "__low", before.alias("__before")), ["__file", "__start"])
+            .withColumn(col, F.col("__before") + F.col("__at") - F.col("__low")).drop("__file", "__start", "__at", "__low", "__before"))
+
+
 def distinct_first_seen(df: DataFrame, col: str, order_col: str) -> DataFrame:
-    """Unique values with their first-seen position (explicit order key)."""
+    """Unique values with their first-seen position (an order key, or the place in the input that ``input_order`` gives)."""
     return df.groupBy(col).agg(F.min(order_col).alias("first_seen")).orderBy("first_seen")
 
 

@@ -99,6 +99,32 @@ def q_tolerant_ingest(spark, d):
     return good.unionByName(bad).groupBy("author").agg(F.sum("ok").alias("n_rows"), F.sum(1 - F.col("ok")).alias("n_rejected"))
 
 
+@register("file_failures", """
+SELECT * FROM (VALUES ('ZZ-broken', 'archive'), ('ZZ-empty', 'no records'), ('ZZ-junk', 'no header'), ('ZZ-latin', 'not text in UTF-8')) v(author, reason)
+UNION ALL
+SELECT 'C' || CAST(o_custkey AS VARCHAR), 'a record has ' || CAST(max(o_orderkey % 3) + 2 AS VARCHAR) || ' fields, the header 2'
+FROM orders GROUP BY o_custkey HAVING max(o_orderkey % 3) > 0""")
+def q_file_failures(spark, d):
+    """One file a customer, with a row an order; rows of some orders have more fields than the header. Next to them an empty file,
+    one of junk, one that is not UTF-8 and a broken archive: every file that fails is listed with the reason."""
+    path = scratch_path(spark, "failures")
+    o = B.table(spark, d, "orders")
+    rows = o.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("author"), F.lit(1).alias("nr"),
+                    F.concat(F.lit("T"), F.col("o_orderkey").cast("string"), F.lit(",A"), F.repeat(F.lit(",x"), (F.col("o_orderkey") % 3).cast("int"))).alias("value"))
+    head = rows.select("author").distinct().select("author", F.lit(0).alias("nr"), F.lit("Title,Authors").alias("value"))
+    (head.unionByName(rows).repartition("author").sortWithinPartitions("author", "nr").select("author", "value")
+     .write.partitionBy("author").text(path))
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for name, data in {"author=ZZ-broken/part-0.txt.gz": b"\x1f\x8b\x08\x00 no archive", "author=ZZ-empty/part-0.txt": b"",
+                       "author=ZZ-junk/part-0.txt": b"not an export, no header\n", "author=ZZ-latin/part-0.txt": "Title,Authors\nAño,A\n".encode("latin-1")}.items():
+        where = jvm.Path(f"{path}/{name}")
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+        out.write(bytearray(data))
+        out.close()
+    found = X.file_failures(spark, path, glob="*.txt*", recursive=True)
+    return found.select("author", F.regexp_replace("reason", "^archive:.*", "archive").alias("reason"))
+
+
 @register("ext_filter", sql(SQL_COAUTHOR, body="SELECT count(*) AS n_rows, count(DISTINCT author) AS n_authors FROM coauthor_rows"))
 def q_ext_filter(spark, d):
     """Only ``*.txt`` files are exports; a ``.csv`` copy in the same folder is ignored."""

@@ -312,6 +312,37 @@ def q_distinct_first_seen(spark, d):
     return W.distinct_first_seen(B.works_orders(spark, d), "author", "work_id")
 
 
+#: Rows as they stand in the file.
+SQL_INPUT = """numbered AS (SELECT l_partkey AS author, l_suppkey AS source, l_orderkey AS work_id, row_number() OVER () - 1 AS input_row FROM lineitem)"""
+
+
+def _numbered(spark, d):
+    rows = W.input_order(B.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey"))
+    return rows.select(F.col("l_partkey").alias("author"), F.col("l_suppkey").alias("source"), F.col("l_orderkey").alias("work_id"), "input_row")
+
+
+@register("first_seen_in_input", sql(SQL_INPUT, body="SELECT author, min(input_row) AS first_seen FROM numbered GROUP BY author ORDER BY first_seen"))
+def q_first_seen_in_input(spark, d):
+    """L6 in the order of the input."""
+    return W.distinct_first_seen(_numbered(spark, d), "author", "input_row")
+
+
+@register("keep_first_in_input", sql(SQL_INPUT, body="""
+SELECT author, source, min(input_row) AS input_row, arg_min(work_id, input_row) AS work_id FROM numbered GROUP BY author, source"""))
+def q_keep_first_in_input(spark, d):
+    """D1 in the order of the input: of the rows of a key the one that stands first stays."""
+    return W.dedup_keep_first(_numbered(spark, d), ["author", "source"], "input_row", keep=["work_id"])
+
+
+@register("topk_first_seen_ties", sql(SQL_INPUT, body="""
+SELECT author, count(*) AS publications, min(input_row) AS first_seen FROM numbered GROUP BY author
+ORDER BY publications DESC, first_seen LIMIT 25"""))
+def q_topk_first_seen_ties(spark, d):
+    """L1 with ties in the order of the input."""
+    counts = _numbered(spark, d).groupBy("author").agg(F.count(F.lit(1)).alias("publications"), F.min("input_row").alias("first_seen"))
+    return W.topk_authors(counts, 25, tie_col="first_seen")
+
+
 # -- scalars ---------------------------------------------------------------------------------
 
 @register("regex_year", sql(SQL_DATES, body=f"SELECT work_id, pub_date_raw, {SQL_RY} AS year FROM dates"))

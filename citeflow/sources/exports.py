@@ -8,14 +8,20 @@ fields, and its year cells in a map. ``citations`` turns the maps into long rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import bz2
+import fnmatch
+import gzip
+import io
+import zlib
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeflow.functions import scalars as S
-from citeflow.session import cut_lineage
+from citeflow.session import cut_lineage, map_in_arrow
 
 # Column layout of the export format.
 RAW_NAMED_COLUMNS = [
@@ -168,6 +174,75 @@ def rejected_rows(spark: SparkSession, path: str | Sequence[str], glob: str = "*
     return rows.where(bad).select("file", author_from_file(F.col("file")).alias("author"), F.get("v", F.lit(0)).alias("first_field"))
 
 
+# File name endings of archives that both Spark's text reader and Python's library unpack.
+ARCHIVES = {".gz": gzip.open, ".bz2": bz2.open}
+
+
+def archive_error(ending: str, data: bytes, step: int = 1 << 20) -> str | None:
+    """Why an archive can not be unpacked, or None. It is unpacked in steps and nothing is kept."""
+    try:
+        with io.BytesIO(data) as packed, ARCHIVES[ending](packed) as unpacked:
+            while unpacked.read(step):
+                pass
+    except (OSError, EOFError, zlib.error) as e:
+        return str(e)
+    return None
+
+
+def broken_archives(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt*", recursive: bool = False) -> DataFrame:
+    """(file, reason) of the archives among the files that can not be unpacked. A file is one row of Spark's binary reader (at
+    most 2 GB packed, its bound) and is tested in one task, as an archive is also read by one; only files with the name of an archive are opened."""
+    empty = spark.createDataFrame([], "file string, reason string")
+    paths = _existing(spark, path)
+    if not paths:
+        return empty
+    ends = ",".join(e[1:] for e in ARCHIVES)
+    try:
+        found = _reader(spark, f"*.{{{ends}}}", False, recursive).format("binaryFile").load(paths)
+    except AnalysisException:
+        return empty
+    named = found.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(fnmatch.translate(glob))).select(F.col("path").alias("file"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            why = [archive_error(n[n.rindex("."):], batch.column(1)[i].as_py()) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(why, pa.string())], names=["file", "reason"])
+
+    return map_in_arrow(named, run, "file string, reason string").where(F.col("reason").isNotNull())
+
+
+def file_failures(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt", encoding: str = "UTF-8", recursive: bool = False,
+                  header_fields: Sequence[str] = ("Title", "Authors")) -> DataFrame:
+    """S8's list of files that can not be read whole: file, author, reason (one a file, the first of those below).
+
+    An archive that can not be unpacked (with the error); bytes that are not text of the encoding; no records; no header; a record with more
+    fields than the header. Missing folders and folders without such files give an empty table. A scan counts the records of each file, so
+    nothing but one row a file is gathered; a file of any size is read in splits.
+    """
+    files = list_files(spark, path, glob, recursive)
+    if files.isEmpty():
+        return spark.createDataFrame([], "file string, author string, reason string")
+    marked = _kinds(_fields(spark, path, glob, encoding, True, recursive, True), header_fields)
+    per = marked.where("kind <> 'blank'").groupBy("file").agg(
+        F.max(F.when(F.col("kind") == "row", F.col("n"))).alias("widest"), F.max(F.size("h")).alias("header"))
+    bad = broken_archives(spark, path, glob, recursive)
+    key = F.regexp_replace(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), "^file:/*", "/").alias("_k")
+    raw = F.regexp_replace("file", "^file:/*", "/").alias("_k")  # the binary reader's paths are not URL-encoded
+    reasons = per.select(key, "widest", "header", F.lit(True).alias("read")).join(bad.select(raw, F.concat(F.lit("archive: "), "reason").alias("broken")), "_k", "full")
+    if encoding.upper() == "UTF-8":
+        odd = _reader(spark, glob, True, recursive).text(_existing(spark, path)).where(~F.is_valid_utf8("value"))
+        odd = odd.select(F.col("_metadata.file_path").alias("file")).groupBy("file").count()
+        reasons = reasons.join(odd.select(key, F.lit("not text in UTF-8").alias("undecoded")), "_k", "left")
+    else:
+        reasons = reasons.withColumn("undecoded", F.lit(None).cast("string"))
+    wide = F.concat(F.lit("a record has "), F.col("widest").cast("string"), F.lit(" fields, the header "), F.col("header").cast("string"))
+    reason = F.coalesce("broken", "undecoded", F.when(F.col("read").isNull(), "no records"), F.when(F.col("header").isNull(), "no header"),
+                        F.when(F.col("widest") > F.col("header"), wide))
+    return (files.select("file", key).join(reasons, "_k", "left").select("file", author_from_file(F.col("file")).alias("author"), reason.alias("reason"))
+            .where(F.col("reason").isNotNull()))
+
+
 def _works(records: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = F.map_filter("rec", lambda k, v: k.rlike("^[0-9]+$"))
     return records.select("author", "file", *[F.col("rec")[c].alias(snake(c)) for c in columns], cells.alias("cells"))

@@ -152,3 +152,36 @@ def test_audit_counts_records(spark, tmp_dir):
             f.write(text)
     got = sorted((os.path.basename(r.file), r.bad) for r in X.file_audit(spark, tmp_dir).collect())
     assert not dict(got)["breaks.txt"] and dict(got)["long.txt"] and dict(got)["empty.txt"] and sorted(b for _, b in got) == [False, False, True, True]
+
+
+def test_failing_files_are_listed_with_the_reason(spark, tmp_dir):
+    import bz2
+    import gzip
+    good = ("Title,Authors\n" + "a b,c\n" * 5).encode()
+    files = {"good.txt": good, "good.txt.gz": gzip.compress(good) + gzip.compress(b"x,y\n"), "good.txt.bz2": bz2.compress(good),
+             "cut.txt.gz": gzip.compress(good * 200)[:-9], "cut.txt.bz2": bz2.compress(good)[:-5], "broken.txt.gz": b"\x1f\x8b\x08\x00 no archive",
+             "zero.txt": b"", "blank.txt": b"\n\n", "junk 1+2.txt": b"no header\n", "latin.txt": "Title,Authors\nAño,A\n".encode("latin-1"),
+             "long.txt": good + b"a,b,c\n", "quoted.txt": b'Title,Authors\n"a,\nb",c\n'}
+    for name, data in files.items():
+        with open(os.path.join(tmp_dir, name), "wb") as f:
+            f.write(data)
+    got = {r.author: r.reason for r in X.file_failures(spark, tmp_dir, glob="*.txt*").collect()}
+    archives = {a for a, r in got.items() if r.startswith("archive: ")}
+    assert archives == {"cut.txt", "broken.txt"}
+    rest = {a: r for a, r in got.items() if a not in archives}
+    assert rest == {"zero": "no records", "blank": "no records", "junk 1+2": "no header", "latin": "not text in UTF-8",
+                    "long": "a record has 3 fields, the header 2"}
+    assert X.file_failures(spark, tmp_dir + "/missing").count() == 0 and X.file_failures(spark, tmp_dir, glob="*.none").count() == 0
+    latin = {r.author: r.reason for r in X.file_failures(spark, tmp_dir, glob="latin*", encoding="ISO-8859-1").collect()}
+    assert latin == {}
+
+
+def test_archive_errors():
+    import bz2
+    import gzip
+    data = b"some text " * 40_000
+    for ending, pack in ((".gz", gzip.compress), (".bz2", bz2.compress)):
+        packed = pack(data)
+        assert X.archive_error(ending, packed) is None and X.archive_error(ending, packed, 1000) is None
+        assert X.archive_error(ending, packed + pack(b"x")) is None
+        assert X.archive_error(ending, packed[:-12]) and X.archive_error(ending, b"no archive at all")

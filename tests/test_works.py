@@ -81,3 +81,27 @@ def test_project_existing_and_union(spark):
     assert out.columns == ["b", "a"] and missing == ["zz"]
     u = W.union_files([df, spark.createDataFrame([(5,)], "c int")])
     assert sorted(u.columns) == ["a", "b", "c"] and u.count() == 2
+
+
+def test_input_order_for_any_splits(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    for i in range(3):
+        with open(f"{tmp_dir}/part-{i}.txt", "w") as f:
+            f.write("".join(f"{(7 * i + j * j) % 23}\n" for j in range(40 + 10 * i)))
+    lines = [line.strip() for i in range(3) for line in open(f"{tmp_dir}/part-{i}.txt")]
+    first = {v: lines.index(v) for v in lines}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("16", "100", "1000000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = W.input_order(spark.read.text(tmp_dir))
+            assert [r.value for r in rows.orderBy("input_row").collect()] == lines
+            assert sorted(r.input_row for r in rows.collect()) == list(range(len(lines)))
+            assert [tuple(r) for r in W.distinct_first_seen(rows, "value", "input_row").collect()] == sorted(first.items(), key=lambda x: x[1])
+            counts = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("input_row").alias("seen"))
+            want = sorted(first, key=lambda v: (-lines.count(v), first[v]))[:9]
+            assert [r.value for r in W.topk_authors(counts, 9, "value", "n", "seen").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
