@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -22,6 +24,8 @@ import regex
 OTHER_SPACE = "\t\n\x0b\x0c\r\x85\xa0                　"
 #: A space with white space on both sides (or at the end of the text): such runs must be split as a whole.
 LOOSE_SPACE = re.compile(f" (?<=[ {OTHER_SPACE}] )(?=[ {OTHER_SPACE}]|\\Z)")
+#: What an ASCII text with a loose space holds, if the space is not its last character.
+ASCII_LOOSE = tuple(" " + c for c in " " + OTHER_SPACE if c.isascii())
 #: Punctuation that is a pre-token of its own after a word.
 MARKS = frozenset(".,;:!?")
 #: Characters worked on at a time; cuts fall on single spaces only.
@@ -42,6 +46,13 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[tuple[bool, str]]:
     yield first, text[begin:]
 
 
+def has_loose_space(text: str) -> bool:
+    """``LOOSE_SPACE`` occurs. Most ASCII texts have none of six pairs, which is found out much faster than by the expression."""
+    if text.isascii() and text[-1:] != " " and not any(pair in text for pair in ASCII_LOOSE):
+        return False
+    return LOOSE_SPACE.search(text) is not None
+
+
 class PieceEncoder(dict):
     """Piece (without the single space before it) -> row in flat arrays of ids.
 
@@ -51,8 +62,13 @@ class PieceEncoder(dict):
     is a pre-token of its own, or dropped); with ``lower`` (the tokenizer lower-cases) a word is its lower-case form.
     """
 
-    def __init__(self, encode_piece: Callable, lower: bool = False, max_pieces: int = 900_000, max_ids: int = 8_000_000):
+    def __init__(self, encode_piece: Callable, lower: bool = False, max_pieces: int = 900_000, max_ids: int = 8_000_000,
+                 added: dict[str, int] | None = None):
         super().__init__()
+        self.added = added or {}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.find_added = re.compile("|".join(map(re.escape, longest_first))).finditer if self.added else None
+        self.added_start = os.path.commonprefix(longest_first)
         self.encode_piece, self.lower, self.max_pieces, self.max_ids = encode_piece, lower, max_pieces, max_ids
         self.marks = {m: list(encode_piece(m)) for m in MARKS}
         self.newline = list(encode_piece("\n"))
@@ -118,12 +134,24 @@ class PieceEncoder(dict):
         return np.frombuffer(self.flat, np.int32)[at + np.arange(ends[-1])]
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids (int32) of one whole text; null and empty texts have none."""
+        """The ids (int32) of one whole text; null and empty texts have none. The tokenizer's added tokens are ids of their own
+        wherever they stand in a text, as in the library, and what is between them is encoded apart."""
+        if not text:
+            return np.empty(0, np.int32)
+        if self.find_added and self.added_start in text:
+            out, at = [], 0
+            for m in self.find_added(text):
+                out += [self._plain(text[at : m.start()]), np.array([self.added[m.group()]], np.int32)]
+                at = m.end()
+            return np.concatenate([*out, self._plain(text[at:])]) if out else self._plain(text)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
         out = []
         for first, part in segments(text):
-            if LOOSE_SPACE.search(part):
+            if has_loose_space(part):
                 out.append(np.asarray(self.encode_piece(part if first else " " + part), np.int32))
                 continue
             pieces = part.split(" ")
@@ -143,7 +171,7 @@ def byte_to_char() -> dict[int, str]:
 
 
 def library_piece_encoder(tokenizer_json: bytes, pattern: str, lower: bool) -> Callable:
-    """A function that encodes one piece with the ``tokenizers`` library (no special tokens).
+    """A function that encodes one piece with the ``tokenizers`` library (a piece holds no added token).
 
     Each pre-token goes to the library's model. ``lower`` is for the word tokenizer, whose normaliser composes (NFC)
     and lower-cases; pieces with characters above U+024F go through the library's whole chain, so that its own Unicode
@@ -152,7 +180,6 @@ def library_piece_encoder(tokenizer_json: bytes, pattern: str, lower: bool) -> C
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_str(tokenizer_json.decode())
-    tok.encode_special_tokens = True
     model, alphabet = tok.model, byte_to_char()
     find, chars = regex.compile(pattern).findall, [alphabet[b] for b in range(256)]
     beyond = re.compile("[ɐ-\U0010ffff]").search
@@ -179,8 +206,16 @@ def library_piece_encoder(tokenizer_json: bytes, pattern: str, lower: bool) -> C
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def added_tokens(tokenizer_json: bytes) -> dict[str, int]:
+    """The added tokens of a tokenizer file: text -> id. Only plain ones are known here; others raise."""
+    tokens = json.loads(tokenizer_json)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token of this tokenizer is not matched as it stands")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def library_encoder(tokenizer_json: bytes, pattern: str, lower: bool) -> PieceEncoder:
-    return PieceEncoder(library_piece_encoder(tokenizer_json, pattern, lower), lower)
+    return PieceEncoder(library_piece_encoder(tokenizer_json, pattern, lower), lower, added=added_tokens(tokenizer_json))
 
 
 _SHARED: dict[tuple, PieceEncoder] = {}

@@ -11,7 +11,6 @@ PATH = P.path("byte_bpe_50k.json")
 def slow(text, begins):
     """By the library's own character offsets."""
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     out = [0] * len(begins)
     for a, b in tok.encode(text, add_special_tokens=False).offsets:
         at = next((i for i in range(a, b) if text[i] not in " \t\n\x0b\x0c\r"), a)

@@ -19,7 +19,6 @@ BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
 def library(path):
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
@@ -66,6 +65,25 @@ def test_piece_encoder_equals_library(path, pattern, lower):
         assert encoder.encode(t).tolist() == own(t)
 
 
+@pytest.mark.parametrize("path,pattern,lower", [(BYTES, P.PATTERN, False), (WORDS, pretokens.WORD_PATTERN, True)])
+def test_added_tokens_and_new_letters_equal_library(path, pattern, lower):
+    """Added tokens anywhere in a text, also in pieces, and letters newer than Python's tables at its beginning."""
+    with open(path, "rb") as f:
+        encoder = pretokens.library_encoder(f.read(), pattern, lower)
+    own, r = library(path), random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", " ", "  ", "\n", "a", "Word", "word.", "\u0558", "\u088f", "\ua7cb", "é", "İ"]
+    for _ in range(3000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(1, 9)))
+        assert encoder.encode(t).tolist() == own(t), t
+    for c in [*range(0x0500, 0x0600), *range(0x0860, 0x08A0), *range(0xA7C0, 0xA7F0), *range(0x1C80, 0x1C90)]:
+        assert encoder.encode(chr(c) + "x").tolist() == own(chr(c) + "x")
+
+
+def test_loose_spaces_are_found_alike():
+    for t in noise(4000, 7) + ["a b", "a ", " ", "a\n b", "a\n \nb", "a  b", " a", "a\x85 \x85b"]:
+        assert pretokens.has_loose_space(t) == (pretokens.LOOSE_SPACE.search(t) is not None)
+
+
 def test_segments_give_the_same_ids(monkeypatch, reference):
     monkeypatch.setattr(pretokens, "SEGMENT", 50)
     assert ["".join((" " if not f else "") + s for f, s in pretokens.segments(helpers.prose(9, 200), 50))] == [helpers.prose(9, 200)]
