@@ -9,7 +9,7 @@ windows have equal anchors at equal offsets, so a document is cut into segments
 and only segments whose anchors have equal hashes can share a window.
 
 1. Anchors seen once are dropped (a count by hash, combined before the shuffle).
-2. Segments that are equal as a whole (anchor hash and an independent hash of all their bytes, 128 bits) are repeated in
+2. Segments that are equal as a whole (anchor hash and XXH3 of all their bytes, 64 bits each and of different kinds) are repeated in
    full. Only a count is gathered for them, so a passage that a third of all documents share stays cheap.
 3. The distinct segments of an anchor are sorted in one bucket: their suffixes, group by group of equal offsets, go
    through a merge sort that compares two suffixes by their longest common extension, found by binary search over prefix
@@ -28,6 +28,7 @@ empty table gives an empty table. All columns are kept; the added ``kept``, ``n_
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from citeflow.llm.common import cut_lineage, map_arrow, slices
 
@@ -73,8 +75,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-#: Fixed odd bases of the two hashes.
-POLY_A, POLY_B = Poly(0x5851F42D4C957F2D), Poly(0xD1342543DE82EF95)
+#: Fixed odd base of the prefix hashes.
+POLY_A = Poly(0x5851F42D4C957F2D)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -90,13 +92,14 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def segments(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Segments of texts that lie in ``data`` one after another: (text, first start, starts - 1, anchor - first, key, whole).
 
-    ``begins`` has the place of each text and at last the end. Starts are counted in the text.
+    ``begins`` has the place of each text and at last the end. Starts are counted in the text. ``whole`` is XXH3 of all bytes of
+    the segment's windows and of its shape: no polynomial, so texts that collide in the anchors' hashes do not collide in it too.
     """
     none = tuple(np.empty(0, np.int64) for _ in range(6))
     if len(data) < length:
         return none
     gram = min(GRAM, length)
-    a, b = POLY_A.prefix(data), POLY_B.prefix(data)
+    a = POLY_A.prefix(data)
     at = np.arange(len(data) - gram + 1)
     h = mix(POLY_A.of(a, at, at + gram))
     low = U((1 << PLACE_BITS) - 1)
@@ -112,7 +115,9 @@ def segments(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndar
     change = np.append(np.flatnonzero(new), len(anchor))
     last = np.minimum(change[np.searchsorted(change, first, "right")] - 1, begins[text[first] + 1] - length)
     n, off = last - first, anchor[first] - first
-    whole = mix(POLY_B.of(b, first, last + length) + mix((n * 4096 + off + length).astype(U)))
+    view, ends = memoryview(data), last + length
+    whole = np.array([xxh3_64_intdigest(view[i:j]) for i, j in zip(first.tolist(), ends.tolist())], U)
+    whole = mix(whole + mix((n * 4096 + off + length).astype(U)))
     return text[first], first - begins[text[first]], n, off, h[anchor[first]].view(np.int64), whole.view(np.int64)
 
 
@@ -335,18 +340,15 @@ def _sorted_buckets(rows: DataFrame, length: int, most_windows: int = 1 << 18) -
     return map_arrow(dealt, run, "doc long, first long, last long")
 
 
-def range_hashes(data: np.ndarray, off: int, n: int, a: int, b: int, length: int) -> tuple[int, ...]:
-    """For a segment's windows whose anchor offset is in [a, b]: the least and the greatest such offset, two hashes of the
-    bytes that all windows of the range have in common, and two of all bytes of the segment's own windows in it."""
+def range_hashes(data: bytes, off: int, n: int, a: int, b: int, length: int) -> tuple[int, ...]:
+    """For a segment's windows whose anchor offset is in [a, b]: the least and the greatest such offset, the two halves of
+    a 128-bit hash of the bytes that all windows of the range have in common, and those of all bytes of the segment's own windows in it."""
     low, high = max(a, off - n), min(b, off)
     core = (off - a, max(off - a, off - b + length))
     whole = (off - high, off - low + length)
     out = [low, high]
     for x, y in (core, whole):
-        at, end = np.array([x]), np.array([y])
-        for p in (POLY_A, POLY_B):
-            h = mix(p.of(p.prefix(data), at, end) + mix((at * 0 + (y - x)).astype(U)))
-            out.append(int(h.view(np.int64)[0]))
+        out += struct.unpack("<qq", xxh3_128_digest(data[x:y], seed=y - x))
     return tuple(out)
 
 
@@ -368,7 +370,7 @@ def _narrowed_ranges(rows: DataFrame, length: int, width: int = 64) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-            made = [range_hashes(np.frombuffer(d, np.uint8), o, n, x, y, length)
+            made = [range_hashes(d, o, n, x, y, length)
                     for d, o, n, x, y in zip(cols["bytes"], cols["off"], cols["n"], cols["a"], cols["b"])]
             new = list(zip(*made)) if made else [()] * 6
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 import helpers
@@ -146,6 +147,15 @@ def test_repeats_with_large_buckets_and_small_buffers(spark, monkeypatch):
     check_repeats(spark, passages(), 50, 2)
 
 
+@pytest.mark.parametrize("most", [1024, 1])
+def test_structured_texts_are_not_taken_for_repeats(spark, most):
+    """A Thue-Morse string and its complement have equal polynomial hashes modulo 2^64, whatever the base."""
+    r = random.Random(2)
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    tails = ["".join(r.choice("cdefgh ") for _ in range(400)) for _ in range(4)]
+    check_repeats(spark, [x + t for t in tails for x in (morse, morse.translate({97: 98, 98: 97}))] + [morse + tails[0]], 1200, most)
+
+
 def test_chunks_of_long_texts_overlap(monkeypatch):
     monkeypatch.setattr(repeats, "LONG", 300)
     monkeypatch.setattr(repeats, "STEP", 500)
