@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from citeflow.llm.common import map_arrow
 
-DIGITS = 3
+#: Digits of a string (vectors of fewer dimensions have one a dimension).
+DIGITS = 16
 QUERY_BLOCK = 1024
 
 
@@ -39,17 +40,49 @@ def rotations(dim: int, trees: int, seed: int = 5) -> np.ndarray:
 
 
 def strings(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """The digits of each row as one number, most significant first, in base 2 x dim."""
+    """The digits of each row as a string of bytes: one a digit, or two (big-endian) from 127 dimensions on."""
     y = x @ rotation
     n = min(DIGITS, y.shape[1])
     size = np.abs(y)
-    out = np.zeros(len(x), np.int64)
+    out = np.zeros((len(x), n), np.uint8 if 2 * y.shape[1] < 255 else ">u2")
     row = np.arange(len(x))
-    for _ in range(n):
+    for i in range(n):
         at = size.argmax(1)
-        out = out * (2 * y.shape[1]) + 2 * at + (y[row, at] > 0)
+        out[:, i] = 2 * at + (y[row, at] > 0) + 1
         size[row, at] = -1
-    return out
+    return as_strings(out)
+
+
+def as_strings(digits: np.ndarray) -> np.ndarray:
+    """Rows of digits as byte strings of one length, which numpy compares from their first byte on."""
+    return np.ascontiguousarray(digits).view(f"S{digits.shape[1] * digits.itemsize}").ravel()
+
+
+class Tree:
+    """The sorted strings of the rows of a shard, and which row each belongs to."""
+
+    def __init__(self, string: np.ndarray, depth: int):
+        self.rows = np.argsort(string, kind="stable")
+        self.strings, self.depth = string[self.rows], depth
+        self.kind = np.dtype(np.uint8 if string.itemsize == depth else ">u2")
+
+    def digits(self, string: np.ndarray) -> np.ndarray:
+        return string.view(self.kind).reshape(-1, self.depth)
+
+    def descend(self, own: np.ndarray) -> np.ndarray:
+        """Length of the longest prefix that each query's string shares with a row's: one of its neighbours has it."""
+        at, mine = np.searchsorted(self.strings, own), self.digits(own)
+        longest = np.zeros(len(own), np.int64)
+        for near in (np.maximum(at - 1, 0), np.minimum(at, len(self.strings) - 1)):
+            same = self.digits(self.strings[near]) == mine
+            longest = np.maximum(longest, np.logical_and.accumulate(same, axis=1).sum(1))
+        return longest
+
+    def run(self, own: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the rows that share the first ``length`` digits with each query."""
+        low, high = self.digits(own).copy(), self.digits(own).copy()
+        low[:, length:], high[:, length:] = 0, np.iinfo(self.kind).max
+        return np.searchsorted(self.strings, as_strings(low)), np.searchsorted(self.strings, as_strings(high), "right")
 
 
 class Forest:
@@ -62,45 +95,55 @@ class Forest:
         by = np.argsort(at, kind="stable")  # members of a vector stay in ascending id
         self.members, self.member_begin = ids[by], np.searchsorted(at[by], np.arange(len(first) + 1))
         self.exact = x[first].astype(np.float64)
-        near = x[first].astype(np.float32)
+        self.near = x[first].astype(np.float32)
         self.dim, self.candidates = x.shape[1], candidates
         self.depth = min(DIGITS, self.dim)
         self.largest = float(np.sqrt((self.exact**2).sum(1).max()))
         self.rotations = rotations(self.dim, trees)
-        self.trees = []
-        for r in self.rotations:
-            s = strings(near, r)
-            rows = np.argsort(s, kind="stable")
-            self.trees.append((s[rows], rows, near[rows]))
+        self.trees = [Tree(strings(self.near, r), self.depth) for r in self.rotations]
+
+    def matches(self, q32: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin and end of each query's run in each tree, depth of each query): the depth at which its runs hold enough rows.
+
+        A query descends in every tree to its own longest match; the ascent is synchronous: a tree whose match is shorter joins
+        in when the others have come up to it. At depth 0, the root, all rows are one run, given for the first tree.
+        """
+        own = [strings(q32, r) for r in self.rotations]
+        deep = np.stack([tree.descend(o) for tree, o in zip(self.trees, own)])
+        lo, hi = np.zeros(deep.shape, np.int64), np.zeros(deep.shape, np.int64)
+        level, open_ = np.zeros(len(q32), np.int64), np.arange(len(q32))
+        for up in range(int(deep.max(initial=0)), 0, -1):
+            for t, tree in enumerate(self.trees):
+                here = open_[deep[t, open_] >= up]
+                if len(here):
+                    lo[t, here], hi[t, here] = tree.run(own[t][here], up)
+            enough = (hi - lo)[:, open_].sum(0) >= self.candidates
+            level[open_[enough]] = up
+            open_ = open_[~enough]
+            if not len(open_):
+                break
+        lo[:, open_] = hi[:, open_] = 0
+        hi[0, open_] = len(self.exact)
+        return lo, hi, level
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, id, score) of the best ``k`` candidates of each query in this shard."""
         q32, q64 = q.astype(np.float32), q.astype(np.float64)
-        n, base = len(self.exact), 2 * self.dim
-        lo, hi = (np.zeros((self.depth + 1, len(self.trees), len(q)), np.int64) for _ in range(2))
-        for t, (s, _, _) in enumerate(self.trees):
-            own = strings(q32, self.rotations[t])
-            for level in range(self.depth + 1):
-                unit = base ** (self.depth - level)
-                lo[level, t], hi[level, t] = np.searchsorted(s, own // unit * unit), np.searchsorted(s, (own // unit + 1) * unit)
-        held = (hi - lo).sum(1)  # level, query
-        level = np.zeros(len(q), np.int64)
-        for up in range(self.depth, 0, -1):  # synchronous ascent
-            level = np.where((level == 0) & (held[up] >= self.candidates), up, level)
+        n = len(self.exact)
+        lo, hi, _ = self.matches(q32)
         slack = 1e-4 * self.largest * np.sqrt((q64**2).sum(1).max())
         pairs = []
-        for t, (_, rows, near) in enumerate(self.trees):
-            a, b = lo[level, t, np.arange(len(q))], hi[level, t, np.arange(len(q))]
-            use = (b > a) & ((level > 0) | (t == 0))
-            picked = np.flatnonzero(use)
+        for t, tree in enumerate(self.trees):
+            a, b = lo[t], hi[t]
+            picked = np.flatnonzero(b > a)
             picked = picked[np.lexsort((b[picked], a[picked]))]
             cuts = np.flatnonzero(np.diff(a[picked]) | np.diff(b[picked])) + 1
             for same in np.split(picked, cuts) if len(picked) else ():
-                run = slice(a[same[0]], b[same[0]])
-                score = q32[same] @ near[run].T
+                run = tree.rows[a[same[0]] : b[same[0]]]
+                score = q32[same] @ self.near[run].T
                 least = np.partition(score, -k - 1, axis=1)[:, -k - 1] - slack if score.shape[1] > k + 1 else np.full(len(same), -np.inf)
                 i, j = np.nonzero(score >= least[:, None])
-                pairs.append(same[i] * n + rows[run][j])
+                pairs.append(same[i] * n + run[j])
         if not pairs:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         pairs = np.unique(np.concatenate(pairs))
