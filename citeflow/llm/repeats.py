@@ -115,8 +115,8 @@ def segments(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndar
     change = np.append(np.flatnonzero(new), len(anchor))
     last = np.minimum(change[np.searchsorted(change, first, "right")] - 1, begins[text[first] + 1] - length)
     n, off = last - first, anchor[first] - first
-    view, ends = memoryview(data), last + length
-    whole = np.array([xxh3_64_intdigest(view[i:j]) for i, j in zip(first.tolist(), ends.tolist())], U)
+    cuts = map(slice, first.tolist(), (last + length).tolist())
+    whole = np.fromiter(map(xxh3_64_intdigest, map(data.tobytes().__getitem__, cuts)), U, len(first))
     whole = mix(whole + mix((n * 4096 + off + length).astype(U)))
     return text[first], first - begins[text[first]], n, off, h[anchor[first]].view(np.int64), whole.view(np.int64)
 
