@@ -79,11 +79,6 @@ def test_added_tokens_and_new_letters_equal_library(path, pattern, lower):
         assert encoder.encode(chr(c) + "x").tolist() == own(chr(c) + "x")
 
 
-def test_loose_spaces_are_found_alike():
-    for t in noise(4000, 7) + ["a b", "a ", " ", "a\n b", "a\n \nb", "a  b", " a", "a\x85 \x85b"]:
-        assert pretokens.has_loose_space(t) == (pretokens.LOOSE_SPACE.search(t) is not None)
-
-
 def test_segments_give_the_same_ids(monkeypatch, reference):
     monkeypatch.setattr(pretokens, "SEGMENT", 50)
     assert ["".join((" " if not f else "") + s for f, s in pretokens.segments(helpers.prose(9, 200), 50))] == [helpers.prose(9, 200)]
