@@ -105,3 +105,21 @@ def test_input_order_for_any_splits(spark, tmp_dir):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_year_matrix_tasks_follow_the_rows(spark, tmp_dir, monkeypatch):
+    import datetime
+
+    from citeflow.plans import bindings as B
+    rows = [(i // 3, i % 5, float(i % 7), datetime.datetime(1995 + i % 4, 1, 2) if i % 11 else None) for i in range(900)] + [(None, 1, 2.0, None), (1, 1, None, datetime.datetime(1996, 1, 1))]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_shipdate timestamp").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    key = lambda r: tuple(str(x) for x in r)
+    few = B.year_matrix(spark, tmp_dir)
+    cells = B.citation_cells(spark, tmp_dir)
+    want, want_cells = sorted(map(key, few.collect())), sorted(map(key, cells.collect()))
+    assert few.columns == ["work_id", "author", "1995", "1996", "1997", "1998"]
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    many = B.year_matrix(spark, tmp_dir)
+    assert many.rdd.getNumPartitions() == 10 and B.citation_cells(spark, tmp_dir).rdd.getNumPartitions() == 10
+    assert sorted(map(key, many.collect())) == want
+    assert sorted(map(key, B.citation_cells(spark, tmp_dir).collect())) == want_cells
