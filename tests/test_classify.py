@@ -85,3 +85,14 @@ def test_sparse_features(spark):
     # slots: 0 the number, 1-2 x and y, 3 null (its name begins with the least character), 4 p
     assert size == 5 and got == {3: ([0, 2, 4], [0.0, 1.0, 1.0]), 4: ([0, 3], [2.0, 1.0])}
     assert out.columns == ["id", "v", "a", "b", "indices", "values"]
+
+
+def test_tasks_of_training_vectors_follow_their_bytes(spark, monkeypatch):
+    rows = [(i, float(i % 2), float(i), "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "work_id long, label double, x double, c string")
+    few = C._prepared(df, ["x"], ["c"], (), "label", 16)
+    monkeypatch.setattr(C, "TASK_BYTES", 300 * few[2] * 8 // 10)
+    many = C._prepared(df, ["x"], ["c"], (), "label", 16)
+    assert many[1].rdd.getNumPartitions() == 10 and many[2] == few[2]
+    key = lambda r: (r.label, r.features.toArray().tolist())
+    assert sorted(map(key, many[1].collect())) == sorted(map(key, few[1].collect()))
