@@ -96,3 +96,47 @@ def test_tasks_of_training_vectors_follow_their_bytes(spark, monkeypatch):
     assert many[1].rdd.getNumPartitions() == 10 and many[2] == few[2]
     key = lambda r: (r.label, r.features.toArray().tolist())
     assert sorted(map(key, many[1].collect())) == sorted(map(key, few[1].collect()))
+
+
+def sparse_rows(spark, n=300):
+    rnd, rows = random.Random(4), []
+    for i in range(n):
+        y = rnd.randrange(2)
+        rows.append((i, float(rnd.gauss(2.0 * y, 1.0)), float(rnd.gauss(0, 1)), "ab"[rnd.randrange(2)], f"t{i % 40}", y))
+    return spark.createDataFrame(rows, "work_id long, a double, b double, cat string, t string, label int")
+
+
+def test_sparse_training_equals_spark_ml(spark):
+    """With all rows in one block of Spark ML's, its objective is the mean over rows: the same optimiser gives the same history."""
+    _, vectors, n = C._prepared(sparse_rows(spark).coalesce(1), ["a", "b"], ["cat"], ["t"], "label", 16)
+    estimator = C.mlp_classifier(n, hidden=(5, 3), max_iter=12).setBlockSize(300)
+    theirs = estimator.fit(vectors)
+    summary = theirs.summary() if callable(theirs.summary) else theirs.summary
+    runs = [list(C.perceptron.train(v, estimator)) for v in (vectors, vectors.repartition(5))]
+    for ours in runs:
+        assert len(ours) == len(summary.objectiveHistory) == 13
+        assert all(abs(a - b) < 1e-8 for a, (_, b) in zip(summary.objectiveHistory, ours))
+        assert abs(theirs.weights.toArray() - ours[-1][0]).max() < 1e-5
+    model = C.perceptron.model_of(spark, estimator, runs[0][-1][0])
+    assert (model.weights.toArray() == runs[0][-1][0]).all()
+
+
+def test_first_layer_of_sparse_blocks():
+    import numpy as np
+    r = np.random.default_rng(1)
+    dense = r.normal(size=(40, 30)) * (r.random((40, 30)) < np.linspace(0, 0.5, 30))
+    row, at = np.nonzero(dense)
+    times, back = C.perceptron.first_layer(np.bincount(row, minlength=40), at, dense[row, at], 30)
+    w, d = r.normal(size=(30, 7)), r.normal(size=(40, 7))
+    assert np.allclose(times(w), dense @ w) and np.allclose(back(d), dense.T @ d)
+
+
+def test_validation_curve_is_one_run(spark, monkeypatch):
+    """Every row of the curve is the fit of that many iterations; the network is trained once."""
+    df, calls, train = sparse_rows(spark), [], C.perceptron.train
+    monkeypatch.setattr(C.perceptron, "train", lambda *a: calls.append(a) or train(*a))
+    curve = {r.iterations: r.train_objective for r in C.validation_curve(df, ["a", "b"], ["cat"], ["t"], steps=(1, 3)).collect()}
+    assert len(calls) == 1
+    fit, _ = C.train_test_split(df, "work_id", 20, salt="/validation")
+    for n, objective in curve.items():
+        assert abs(C.fit_classifier(fit, ["a", "b"], ["cat"], ["t"], max_iter=n).objectives[-1] - objective) < 1e-9
