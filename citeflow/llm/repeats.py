@@ -41,7 +41,8 @@ from xxhash import xxh3_64_intdigest, xxh3_128_digest
 from citeflow.llm.common import cut_lineage, map_arrow, slices
 
 GRAM = 40
-STEP = 2 << 20
+#: Bytes of texts whose segments are found at once: some fifteen arrays of as many 64-bit numbers are held meanwhile.
+STEP = 1 << 19
 LONG = 8 << 20
 PLACE_BITS = 25
 U = np.uint64

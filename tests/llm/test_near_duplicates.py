@@ -194,3 +194,12 @@ def test_repeats_awkward_rows(spark):
     text = repeats.remove_repeats(docs, 200, as_text=True)
     assert dict(text.dtypes)["kept"] == "string"
     assert repeats.remove_repeats(helpers.empty(spark), 200).count() == 0
+
+
+def test_segment_buffers_are_small():
+    """What a worker holds while it finds segments is some fifteen numbers a byte of a buffer."""
+    texts = [b"x" * 3000] * 2000 + [b"y" * (1 << 20)] + [b"z" * 3000] * 300
+    got = list(repeats.chunks(texts, 200))
+    assert max(len(data) for places, data, _ in got if len(places) > 1) <= 1 << 19
+    assert sum(len(data) for _, data, _ in got) == sum(map(len, texts))
+    assert sorted(i for places, _, _ in got for i, _ in places) == list(range(len(texts)))
