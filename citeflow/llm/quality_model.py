@@ -7,9 +7,11 @@ descent in numpy.
 A word that follows itself, or a line that stands in the text already, is also counted as the word ``<again>``: a learned
 vector like any other, which lets the average see repetition.
 
-Training uses at most ``sample`` labelled documents of each class (lowest hash first) and the output's offset is set to the
-share of the classes among all labelled rows. Each document is a bag of hashed features, made on the executors; at most
-2 x ``sample`` bags come to the driver, each at most one entry a bucket.
+Training uses every labelled document. Each is a bag of hashed features, made on the executors, dealt by a hash of its id to parts of
+about ``PART_ROWS`` documents, and written once, packed, to the shared folder. In an epoch every part descends from the common weights
+over all its bags, and the parts' weights are averaged: a bucket's over the parts that met it. The sums are added ``FAN_IN`` at a time on
+the executors; that many, each as large as the model, reach the driver at most. The number of epochs falls with the number of parts, not
+below ``LEAST_EPOCHS``; each goes over all documents. Parts and their order follow ids and texts, not the partitions that are read.
 
 Scoring needs one number and one count a word: they are kept in a bounded table, so a document costs a lookup a word.
 
@@ -20,17 +22,25 @@ labelled twice counts with its lowest label, labels with nulls are ignored; with
 
 from __future__ import annotations
 
+import copy
 import zlib
 from array import array
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeflow.llm.common import map_texts
+from citeflow.llm.common import drop_stage, map_arrow, map_texts, scratch_path
 
 BUCKETS = 1 << 17
+#: Documents of a part that descends by itself within an epoch, and sums that the driver adds up at most.
+PART_ROWS, FAN_IN = 2048, 16
+#: Passes over all documents: ``EPOCHS`` for one part or less, fewer the more parts there are.
+EPOCHS, LEAST_EPOCHS = 10, 3
 GRAMS = (3, 4, 5)
 AGAIN = "<again>"
 
@@ -62,17 +72,14 @@ def words_of(text: str):
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each occurs."""
-    held = np.zeros(BUCKETS, np.int64)
-    cache: dict[str, list[int]] = {}
+    times: Counter[str] = Counter()
     for words in words_of(text or ""):
-        for w in words:
-            f = cache.get(w)
-            if f is None:
-                f = cache[w] = features(w)
-            for b in f:
-                held[b] += 1
-    at = np.flatnonzero(held)
-    return at.astype(np.int32), held[at].astype(np.float32)
+        times.update(words)
+    each = [features(w) for w in times]
+    flat = np.fromiter((b for f in each for b in f), np.int64)
+    n = np.repeat(np.fromiter(times.values(), np.float64, len(each)), np.fromiter(map(len, each), np.int64, len(each)))
+    at, place = np.unique(flat, return_inverse=True)
+    return at.astype(np.int32), np.bincount(place, n, len(at)).astype(np.float32)
 
 
 class SubwordModel:
@@ -85,37 +92,32 @@ class SubwordModel:
         self.offset = 0.0
         self.prior = 0.0
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 10, batch: int = 8,
-            rate: float = 1.0, seed: int = 11):
-        """Stochastic gradient descent on the cross entropy, the rate falling to zero; classes are weighted equally."""
-        r = np.random.default_rng(seed)
-        y = np.asarray(labels)
-        weight = np.array([0.5 / max((y == c).mean(), 1e-6) for c in (0, 1)], np.float32)
-        steps, done = epochs * -(-len(bags) // batch), 0
-        for _ in range(epochs):
-            order = r.permutation(len(bags))
-            for at in range(0, len(order), batch):
-                pick = [i for i in order[at : at + batch] if len(bags[i][0])]
-                if pick:
-                    ids = np.concatenate([bags[i][0] for i in pick])
-                    share = np.concatenate([bags[i][1] / bags[i][1].sum() for i in pick])
-                    begin = np.cumsum([0] + [len(bags[i][0]) for i in pick])[:-1]
-                    h = np.add.reduceat(self.e[ids] * share[:, None], begin, axis=0)
-                    z = h @ self.w + np.array([0, self.offset], np.float32)
-                    p = np.exp(z - z.max(1, keepdims=True))
-                    p /= p.sum(1, keepdims=True)
-                    p[np.arange(len(pick)), y[pick]] -= 1
-                    p *= weight[y[pick]][:, None]
-                    now = rate * (1 - done / steps)
-                    back = np.repeat(p @ self.w.T, np.diff(np.append(begin, len(ids))), axis=0) * share[:, None]
-                    self.w -= now * h.T @ p
-                    self.offset -= float(now * 0.1 * p[:, 1].sum())
-                    np.subtract.at(self.e, ids, now * 20 * back)
-                done += 1
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], weight: np.ndarray, done: float = 0.0, share: float = 1.0,
+            batch: int = 8, rate: float = 1.0, seed: int = 11):
+        """One pass of stochastic gradient descent on the cross entropy over all ``bags``: the ``share`` of the whole training that
+        follows after ``done``, in which the rate falls to zero. ``weight`` has the weights of the two classes."""
+        order, y = np.random.default_rng(seed).permutation(len(bags)), np.asarray(labels)
+        for at in range(0, len(order), batch):
+            pick = [i for i in order[at : at + batch] if len(bags[i][0])]
+            if pick:
+                ids = np.concatenate([bags[i][0] for i in pick])
+                part = np.concatenate([bags[i][1] / bags[i][1].sum() for i in pick])
+                begin = np.cumsum([0] + [len(bags[i][0]) for i in pick])[:-1]
+                h = np.add.reduceat(self.e[ids] * part[:, None], begin, axis=0)
+                z = h @ self.w + np.array([0, self.offset], np.float32)
+                p = np.exp(z - z.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                p[np.arange(len(pick)), y[pick]] -= 1
+                p *= weight[y[pick]][:, None]
+                now = np.float32(rate * (1 - done - share * at / len(order)))
+                back = np.repeat(p @ self.w.T, np.diff(np.append(begin, len(ids))), axis=0) * part[:, None]
+                self.w -= now * h.T @ p
+                self.offset -= float(now * 0.1 * p[:, 1].sum())
+                np.subtract.at(self.e, ids, now * 20 * back)
         return self
 
     def set_prior(self, good: int, bad: int):
-        """The sample holds the classes evenly; scores follow their share among all labelled rows."""
+        """The classes weigh the same in training; scores follow their share among all labelled rows."""
         self.prior = float(np.log(max(good, 0.5) / max(bad, 0.5)))
         return self
 
@@ -141,29 +143,134 @@ class Scorer(dict):
         return row
 
     def score(self, text: str | None) -> float:
-        total = count = 0.0
-        for words in words_of(text or ""):
-            if len(self.total) > self.max_words:
-                self.clear()
-                self.total, self.count = array("d"), array("d")
-            rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            total += float(np.frombuffer(self.total)[rows].sum())
-            count += float(np.frombuffer(self.count)[rows].sum())
+        if len(self.total) > self.max_words:
+            self.clear()
+            self.total, self.count = array("d"), array("d")
+        words = list(chain.from_iterable(words_of(text or "")))
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        total, count = float(np.frombuffer(self.total)[rows].sum()) if words else 0.0, float(np.frombuffer(self.count)[rows].sum()) if words else 0.0
         z = (total / count if count else 0.0) + self.offset + self.prior
         return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
 
+SUMS = "part long, n long, e binary, met binary, w binary, offset double"
+#: Documents of a written row of bags.
+ROW_BAGS = 256
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Small whole numbers, byte by byte of their 32 bits, so that compression finds the zeros together."""
+    return values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4")[:, 0]
+
+
+def _row_of(part: int, held: list[tuple]) -> pa.RecordBatch:
+    """Bags (gaps between buckets, counts, label) as one row."""
+    cols = {"labels": packed(np.array([h[2] for h in held])), "sizes": packed(np.array([len(h[0]) for h in held]))}
+    cols |= {c: packed(np.concatenate([h[i] for h in held])) for i, c in enumerate(("gaps", "counts"))}
+    return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), **{c: pa.array([v], pa.binary()) for c, v in cols.items()}})
+
+
+def _packed_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, id, label, at, n), sorted, as packed rows; of an id that documents repeat the first is taken."""
+    part, last, held = None, None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["part"] != part or len(held) == ROW_BAGS:
+                if held:
+                    yield _row_of(part, held)
+                held = []
+            if r["part"] != part or r["id"] != last:
+                held.append((np.diff(np.frombuffer(r["at"], np.int32), prepend=0), np.frombuffer(r["n"], np.float32), r["label"]))
+            part, last = r["part"], r["id"]
+    if held:
+        yield _row_of(part, held)
+
+
+def _bags_of(row: dict) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+    ends = np.cumsum(unpacked(row["sizes"]))[:-1]
+    bags = zip(np.split(unpacked(row["gaps"]), ends), np.split(unpacked(row["counts"]), ends))
+    return [(np.cumsum(g), n.astype(np.float32)) for g, n in bags], unpacked(row["labels"]).tolist()
+
+
+def _sum_row(part: int, n: int, e: np.ndarray, met: np.ndarray, w: np.ndarray, offset: float) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": [part], "n": [n], **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("e", e), ("met", met), ("w", w))}, "offset": [offset]})
+
+
+def _added(total: list | None, r: dict) -> list:
+    """A sum of parts with one more: documents, vectors of the buckets, parts that met a bucket, output, offset."""
+    more = [r["n"], np.frombuffer(r["e"], np.float32), np.frombuffer(r["met"], np.int32), np.frombuffer(r["w"]), r["offset"]]
+    return more if total is None else [a + b for a, b in zip(total, more)]
+
+
+def _fewer(sums: DataFrame) -> DataFrame:
+    """``FAN_IN`` neighbouring sums added to one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if total is not None and r["part"] // FAN_IN != now:
+                    yield _sum_row(now, *total)
+                    total = None
+                now, total = r["part"] // FAN_IN, _added(total, r)
+        if total is not None:
+            yield _sum_row(now, *total)
+
+    return map_arrow(sums.repartition((F.col("part") / FAN_IN).cast("long")).sortWithinPartitions("part"), run, SUMS)
+
+
+def _epoch(bags: DataFrame, parts: int, model: SubwordModel, weight: np.ndarray, done: float, share: float, seed: int) -> None:
+    """``model`` after one more epoch: every part's descent from it, averaged."""
+    sent = bags.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one() -> pa.RecordBatch:
+            mine = copy.deepcopy(sent.value).fit(rows, labels, weight, done, share, seed=seed)
+            met = np.zeros(BUCKETS, np.int32)
+            for at, _ in rows:
+                met[at] = 1
+            return _sum_row(now, len(rows), mine.e * met[:, None].astype(np.float32), met, mine.w.astype(np.float64) * len(rows), mine.offset * len(rows))
+
+        now, rows, labels = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != now and rows:
+                    yield one()
+                    rows, labels = [], []
+                now, more = row["part"], _bags_of(row)
+                rows, labels = rows + more[0], labels + more[1]
+        if rows:
+            yield one()
+
+    sums, most = map_arrow(bags, run, SUMS), parts
+    while most > FAN_IN:
+        sums, most = _fewer(sums), -(-most // FAN_IN)
+    total = None
+    for r in sorted(sums.collect(), key=lambda r: r["part"]):
+        total = _added(total, r.asDict())
+    sent.destroy()
+    n, e, met, w, offset = total
+    seen = met > 0
+    model.e[seen] = e.reshape(model.e.shape)[seen] / met[seen, None]
+    model.w, model.offset = (w / n).reshape(model.w.shape).astype(np.float32), offset / n
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          sample: int = 1500, dim: int = 8) -> SubwordModel:
-    """``labels``: the id and 0/1. Only the rows given here are learnt from."""
+          dim: int = 8) -> SubwordModel:
+    """``labels``: the id and 0/1. All rows given here, and only these, are learnt from."""
+    spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
-    shares = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
-    order = [F.xxhash64("__id"), F.col("__id")]
-    picked = [known.where(F.col("__label") == x).orderBy(*order).limit(sample) for x in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # twice ``sample`` rows at most
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(chosen, "__id")
-    rows = rows.dropDuplicates(["__id"])
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
+    shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    model = SubwordModel(dim).set_prior(shares.get(1, 0), shares.get(0, 0)) if shares else SubwordModel(dim)
+    if len(shares) < 2:
+        return model
+    parts = -(-sum(shares.values()) // PART_ROWS)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id")
+    rows = rows.withColumns({"part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "h": F.xxhash64("text")})
 
     def make():
         def bags(texts):
@@ -171,11 +278,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return [pa.array([x[i].tobytes() for x in made], pa.binary()) for i in (0, 1)]
         return bags
 
-    got = sorted(map_texts(rows, "__text", "at binary, n binary", make).collect(), key=lambda r: r["__id"])
-    model = SubwordModel(dim)
-    if len(shares) == 2 and len({r["__label"] for r in got}) == 2:
-        model.fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.float32)) for r in got], [r["__label"] for r in got])
-    return model.set_prior(shares.get(1, 0), shares.get(0, 0)) if shares else model
+    made = map_texts(rows, "text", "at binary, n binary", make).repartitionById(parts, F.col("part"))
+    path = scratch_path(spark, "quality_bags")
+    schema = "part int, labels binary, sizes binary, gaps binary, counts binary"
+    map_arrow(made.sortWithinPartitions("part", F.xxhash64("id"), "id", "h"), _packed_bags, schema).write.parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    try:
+        if not written.isEmpty():
+            weight = np.array([0.5 * sum(shares.values()) / shares[c] for c in (0, 1)], np.float32)
+            epochs = max(LEAST_EPOCHS, -(-EPOCHS // parts))
+            for i in range(epochs):
+                _epoch(written, parts, model, weight, i / epochs, 1 / epochs, seed=11 + i)
+    finally:
+        drop_stage(spark, path)
+    return model
 
 
 def score(docs: DataFrame, model: SubwordModel, text_col: str = "text") -> DataFrame:

@@ -44,6 +44,19 @@ def test_scorer_equals_the_average_of_all_vectors():
         assert math.isclose(scorer.score(t), 1 / (1 + math.exp(-(z + 0.4))), rel_tol=1e-4)
 
 
+def test_quality_model_learns_from_every_label(spark, monkeypatch):
+    """More than 1,500 of a class, in several parts: every document's own word has moved."""
+    monkeypatch.setattr(quality_model, "PART_ROWS", 1000)
+    words = [f"{'good' if i % 2 else 'bad'}{i * 7919 % 100003}" for i in range(3400)]
+    docs = spark.createDataFrame([(i, f"{w} {'fine' if i % 2 else 'poor'} text") for i, w in enumerate(words)] + [(7, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(words))], "doc_id long, quality int")
+    model, first = quality_model.train(docs.repartition(5), labels), quality_model.SubwordModel()
+    at = [quality_model.features(w)[0] for i, w in enumerate(words) if i != 7]
+    assert (model.e[at] != first.e[at]).any(1).all()
+    got = quality_model.score(docs, model).collect()
+    assert np.mean([(r.score >= 0.5) == r.doc_id % 2 for r in got]) > 0.99
+
+
 def test_quality_model_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_model.train(helpers.table(spark), none)
