@@ -46,7 +46,8 @@ def test_scorer_equals_the_average_of_all_vectors():
 
 def test_quality_model_learns_from_every_label(spark, monkeypatch):
     """More than 1,500 of a class, in several parts: every document's own word has moved."""
-    monkeypatch.setattr(quality_model, "PART_ROWS", 1000)
+    monkeypatch.setattr(quality_model, "PART_ROWS", 600)
+    monkeypatch.setattr(quality_model, "FAN_IN", 2)
     words = [f"{'good' if i % 2 else 'bad'}{i * 7919 % 100003}" for i in range(3400)]
     docs = spark.createDataFrame([(i, f"{w} {'fine' if i % 2 else 'poor'} text") for i, w in enumerate(words)] + [(7, "again")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(len(words))], "doc_id long, quality int")
