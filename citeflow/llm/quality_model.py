@@ -175,7 +175,7 @@ def _row_of(part: int, held: list[tuple]) -> pa.RecordBatch:
 
 
 def _packed_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, id, label, at, n), sorted, as packed rows; of an id that documents repeat the first is taken."""
+    """Rows (part, id, label, gaps, counts), sorted, as packed rows; of an id that documents repeat the first is taken."""
     part, last, held = None, None, []
     for batch in batches:
         for r in batch.to_pylist():
@@ -184,7 +184,7 @@ def _packed_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _row_of(part, held)
                 held = []
             if r["part"] != part or r["id"] != last:
-                held.append((np.diff(np.frombuffer(r["at"], np.int32), prepend=0), np.frombuffer(r["n"], np.float32), r["label"]))
+                held.append((unpacked(r["gaps"]), unpacked(r["counts"]), r["label"]))
             part, last = r["part"], r["id"]
     if held:
         yield _row_of(part, held)
@@ -275,10 +275,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def make():
         def bags(texts):
             made = [bag(t) for t in texts]
-            return [pa.array([x[i].tobytes() for x in made], pa.binary()) for i in (0, 1)]
+            return [pa.array([packed(np.diff(at, prepend=0)) for at, _ in made], pa.binary()), pa.array([packed(n) for _, n in made], pa.binary())]
         return bags
 
-    made = map_texts(rows, "text", "at binary, n binary", make).repartitionById(parts, F.col("part"))
+    made = map_texts(rows, "text", "gaps binary, counts binary", make).repartitionById(parts, F.col("part"))
     path = scratch_path(spark, "quality_bags")
     schema = "part int, labels binary, sizes binary, gaps binary, counts binary"
     map_arrow(made.sortWithinPartitions("part", F.xxhash64("id"), "id", "h"), _packed_bags, schema).write.parquet(path)
