@@ -58,6 +58,29 @@ def test_quality_model_learns_from_every_label(spark, monkeypatch):
     assert np.mean([(r.score >= 0.5) == r.doc_id % 2 for r in got]) > 0.99
 
 
+def test_quality_model_adds_up_neighbouring_parts_in_a_task(spark, monkeypatch):
+    """Eight parts give two sums an epoch, not eight; documents that repeat an id are one, those without a label none."""
+    added = []
+    monkeypatch.setattr(quality_model, "PART_ROWS", 50)
+    monkeypatch.setattr(quality_model, "_added", lambda total, r, plain=quality_model._added: added.append(r["n"]) or plain(total, r))
+    docs = spark.createDataFrame([(i % 600, "fine text" if i % 2 else "poor text") for i in range(900)] + [(None, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    model = quality_model.train(docs.repartition(3), labels)
+    assert len(added) <= 3 * 2 and sum(added) == 3 * 400
+    assert all((r.score >= 0.5) == (r.text == "fine text") for r in quality_model.score(docs.withColumn("t", F.col("text")).where("doc_id is not null"), model, "t").collect())
+
+
+def test_words_hashed_together_have_their_features():
+    words = ["a", "ab", "naïve", "日本語テキスト", "x" * 300, "😀é😀", "<again>", "Ünïcödé-😀", "plain", "\ud800z"]
+    flat, ends = quality_model.features_of(words)
+    assert [sorted(x.tolist()) for x in np.split(flat, ends[:-1])] == [sorted(quality_model.features(w)) for w in words]
+    texts = [f"{w} {w} other\n{w} {w} other" for w in words[:-1]] + [None, "", " \n"]
+    each = [quality_model.bag(t) for t in texts]
+    for (at, n), (want, times) in zip(quality_model.Bagger(max_words=3).bags(texts), each):
+        assert at.tolist() == want.tolist() and n.tolist() == times.tolist()
+    assert each[0][1].sum() == 4 * len(quality_model.features("a")) + 2 * len(quality_model.features("other")) + 5 * len(quality_model.features("<again>"))
+
+
 def test_quality_model_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_model.train(helpers.table(spark), none)
