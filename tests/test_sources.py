@@ -207,3 +207,32 @@ def test_folders_are_listed_by_a_bounded_number_of_tasks(spark):
     was = spark.conf.get(X.LISTING, None)
     assert X._listed(spark, lambda: spark.conf.get(X.LISTING)) == str(4 * spark.sparkContext.defaultParallelism)
     assert spark.conf.get(X.LISTING, None) == was
+
+
+def test_files_read_by_tasks_are_those_of_sparks_reader(spark, tmp_dir, monkeypatch):
+    """The same records, names and listing, whoever opens the files: odd names, line ends, quotes, marks, bytes; archives and large files too."""
+    import gzip
+    import os
+    import random
+    r = random.Random(3)
+    odd = [b"", b"\n", b'Title,Authors\r\n"a\nb",c\r\n', b'\xef\xbb\xbfTitle,Authors\n\xef\xbb\xbfx,"y""z"\n', b'Title,Authors\nx,"open\nto the end', b"a,,\"\",\"\"\"\"\rb\n\n c ",
+           "Título,Ñ\n \"q\" ,1\x85,\"a\"b\" \n".encode(), "Año,A\nx,y\n".encode("latin-1"), b'""x"",\t,"\n",z\r\r\n"']
+    odd += ["".join(r.choice('ab",\n\r "') for _ in range(r.randrange(60))).encode() for _ in range(40)]
+    names = ["a b.txt", "100%+#?.txt", "ñ{1}[2].txt", "author=Ñ 1/x.txt", "_hidden/x.txt", ".x/y.txt", "_a=1/deep/er/z.txt", "x.csv", "big/big.txt"]
+    names += [f"d{i % 5}/f{i}.txt" for i in range(len(odd) - len(names))]
+    for name, data in [*zip(names, odd), ("p/packed.txt.gz", gzip.compress(odd[2]))]:
+        os.makedirs(os.path.dirname(f"{tmp_dir}/{name}"), exist_ok=True)
+        with open(f"{tmp_dir}/{name}", "wb") as f:
+            f.write(data)
+    for glob in ("*.txt", "*.txt*", ""):
+        for encoding in ("UTF-8", "ISO-8859-1"):
+            for multi_line in (True, False):
+                args = (spark, tmp_dir, glob, encoding, True, True, multi_line)
+                key = lambda rows: sorted((x.file, [str((v is None, v)) for v in x.v]) for x in rows)
+                want = key(X._records_by_reader(*args).collect())
+                assert key(X._records(*args).collect()) == want
+    monkeypatch.setattr(X, "WHOLE_BYTES", 20)
+    args = (spark, tmp_dir, "*.txt*", "UTF-8", True, True, True)
+    assert key(X._records(*args).collect()) == key(X._records_by_reader(*args).collect())
+    listed = sorted(x.file for x in X.list_files(spark, tmp_dir, "*.txt", True).collect())
+    assert listed == sorted(X._reader(spark, "*.txt", True, True).text(tmp_dir).inputFiles()) and len(listed) > 40
